@@ -59,6 +59,14 @@ def renamed(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def looked_up(rows: DataFrame, by: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows with the other columns of `by`, whose keys are unique; null keys are equal to each other."""
+    names = {k: renamed([*rows.columns, *by.columns], f"{k}_of") for k in keys}
+    by = by.select(*[F.col(k).alias(names[k]) for k in keys], *[c for c in by.columns if c not in keys])
+    on = F.expr(" AND ".join(f"`{k}` <=> `{names[k]}`" for k in keys))
+    return rows.join(by, on, how).drop(*names.values())
+
+
 def cuts(df: DataFrame, key: str, rows_per_range: int, max_ranges: int) -> list[int]:
     """At most max_ranges - 1 ascending values of an integer column that part its rows into ranges of about equal counts. Reads that column alone; max_ranges bounds what the driver holds."""
     slim = df.select(F.col(key).cast("long").alias("k"))
@@ -94,7 +102,6 @@ def numbered(df: DataFrame, group: str, order: list[str], bucket: Column, into:
     df = df.withColumn(b, bucket)
     sizes = df.groupBy(group, b).agg(F.count("*").alias("n_"))
     w = Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select(F.col(group).alias("g_"), F.col(b).alias("b_"), F.coalesce(F.sum("n_").over(w), F.lit(0)).alias(at))
+    base = sizes.withColumn(at, F.coalesce(F.sum("n_").over(w), F.lit(0))).select(group, b, at)
     rows = df.withColumn(into, F.row_number().over(Window.partitionBy(group, b).orderBy(*order)) - 1)
-    joined = rows.join(base, rows[group].eqNullSafe(base["g_"]) & (rows[b] == base["b_"]))
-    return joined.withColumn(into, F.col(into).cast("long") + F.col(at)).drop("g_", "b_", b, at)
+    return looked_up(rows, base, [group, b]).withColumn(into, F.col(into).cast("long") + F.col(at)).drop(b, at)

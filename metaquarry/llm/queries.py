@@ -6,12 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaquarry.llm import idfiles, packing, sharding
+from metaquarry.llm import idfiles, mixing, packing, sharding
 from metaquarry.llm.common import table
 
 SHARDS = 40
 
 
+#: Four domains by the sources' names, and the weights of domains, languages and sources; others weigh 1.
+MIX_DOMAIN = "concat('d', coalesce(length(source) % 2, 2))"
+MIX_WEIGHTS = {
+    "domain": "CASE domain WHEN 'd0' THEN 2 ELSE 3 END",
+    "lang": "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END",
+    "source": "CASE source WHEN 'src0' THEN 3 ELSE 2 END",
+}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), F.expr(MIX_DOMAIN), MIX_WEIGHTS)
+
+
 def op6_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
 
@@ -25,5 +38,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {"op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_mixing": op2_mixing, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op10_packing": op10_packing}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(MIX_DOMAIN, MIX_WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)}
