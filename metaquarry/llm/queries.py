@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaquarry.llm import idfiles, mixing, packing, sharding
+from metaquarry.llm import fingerprints, idfiles, mixing, packing, sharding
 from metaquarry.llm.common import table
 
 SHARDS = 40
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), F.expr(MIX_DOMAIN), MIX_WEIGHTS)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.beside_next(table(spark, sf_dir, "documents"))
+
+
 def op6_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
 
@@ -38,5 +42,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op10_packing": op10_packing}
+QUERIES = {"op2_mixing": op2_mixing, "op4_fingerprints": op4_fingerprints, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(MIX_DOMAIN, MIX_WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)}
