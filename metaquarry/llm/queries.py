@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaquarry.llm import fingerprints, idfiles, mixing, packing, sharding
+from metaquarry.llm import fingerprints, idfiles, mixing, neardup, packing, sharding
 from metaquarry.llm.common import table
 
 SHARDS = 40
@@ -38,9 +38,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.joined(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_fingerprints": op4_fingerprints, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op10_packing": op10_packing}
+QUERIES = {"op2_mixing": op2_mixing, "op4_fingerprints": op4_fingerprints, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op9_neardup": op9_neardup, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(MIX_DOMAIN, MIX_WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)}
