@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaquarry.llm import fingerprints, idfiles, mixing, neardup, packing, sharding
+from metaquarry.llm import fingerprints, idfiles, langid, mixing, neardup, packing, sharding, toxicity
 from metaquarry.llm.common import table
 
 SHARDS = 40
@@ -21,10 +21,21 @@ MIX_WEIGHTS = {
 }
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), F.expr(MIX_DOMAIN), MIX_WEIGHTS)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~langid.held_out(F.col("doc_id"), 4, 2))
+    rows = toxicity.scored(docs, model)
+    return rows.select("doc_id", langid.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", F.when(F.col("score") >= toxicity.TOXIC_FROM, 1).otherwise(0).alias("predicted"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.beside_next(table(spark, sf_dir, "documents"))
 
@@ -46,5 +57,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_fingerprints": op4_fingerprints, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op9_neardup": op9_neardup, "op10_packing": op10_packing}
+QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_fingerprints": op4_fingerprints, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op9_neardup": op9_neardup, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(MIX_DOMAIN, MIX_WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)}

@@ -8,6 +8,7 @@ bits and are the same everywhere, so two texts share a shingle where they share
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """raw: the bytes of texts in turn; ends: where each ends. The hashes of all words, and how many words come up to each text's end."""
+@dataclass
+class Spans:
+    """Words of texts in turn: where each begins and ends, how many come up to each text's end, and sums to hash them by."""
+
+    starts: np.ndarray
+    stops: np.ndarray
+    upto: np.ndarray
+    sums: np.ndarray
+
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """Of whole words, or of at most their `first` bytes."""
+        stops = self.stops if first is None else np.minimum(self.stops, self.starts + first)
+        return mixed((self.sums[stops] - self.sums[self.starts]) * _powers(len(self.sums))[1][self.starts])
+
+
+def word_spans(raw: np.ndarray, ends: np.ndarray, apart: np.ndarray = _SPACE) -> Spans:
+    """raw: the bytes of texts in turn; ends: where each ends; apart: which bytes part words."""
     n = len(raw)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    visible = ~_SPACE[raw]
+        none = np.zeros(0, np.int64)
+        return Spans(none, none, np.zeros(len(ends), np.int64), np.zeros(1, np.uint64))
+    visible = ~apart[raw]
     begin = visible.copy()
     begin[1:] &= ~visible[:-1]
     firsts = np.concatenate([[0], ends[:-1]])
@@ -60,12 +77,15 @@ def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts = np.flatnonzero(begin)
     stop = visible.copy()
     stop[:-1] &= ~visible[1:] | begin[1:]
-    stops = np.flatnonzero(stop)
-    up, down = _powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER[raw] * up[:n], out=sums[1:])
-    words = mixed((sums[stops + 1] - sums[starts]) * down[starts])
-    return words, np.searchsorted(starts, ends)
+    np.cumsum(_LOWER[raw] * _powers(n + 1)[0][:n], out=sums[1:])
+    return Spans(starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, ends), sums)
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and how many words come up to each text's end."""
+    spans = word_spans(raw, ends)
+    return spans.hashes(), spans.upto
 
 
 def shingle_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
