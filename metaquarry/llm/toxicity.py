@@ -29,6 +29,8 @@ from metaquarry.llm.words import mixed, raw_texts, steps, word_spans
 BITS = 22
 SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 6000
 KEPT = 3000
+#: A kept feature is at least so many deviations above chance, and by the prior at least so toxic.
+SURPRISE, TELLING = 5.0, 0.8
 BEGINNINGS = (3, 4, 5, 6)
 ROUNDS, RATE, DECAY = 300, 0.3, 1e-4
 TOXIC_FROM = 0.3
@@ -59,9 +61,11 @@ def train(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> Mod
     p, u = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (toxic, other))
     a, b = (p + 0.5) / (len(toxic) + 1), (u + 0.5) / (len(other) + 1)
     apart = (a - b) / np.sqrt(a * (1 - a) / len(toxic) + b * (1 - b) / len(other))
-    apart[p < 3] = 0
+    surprise = (p - len(toxic) * b) / np.sqrt(len(toxic) * b)  # against as many as chance gives
+    telling = (p >= 3) & (surprise > SURPRISE) & (prior * a >= TELLING * b)  # of the texts with it, about so many are toxic
+    apart[~telling] = -1
     places = np.sort(np.argsort(-apart, kind="stable")[:KEPT])
-    places = places[apart[places] > 3]
+    places = places[apart[places] > 0]
     if not len(places):
         return Model(places, np.zeros(0), float(np.log(prior / (1 - prior))))
     slot = np.full(1 << BITS, -1, np.int64)
