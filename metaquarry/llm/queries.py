@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaquarry.llm import fingerprints, idfiles, langid, mixing, neardup, packing, sharding, toxicity
+from metaquarry.llm import fingerprints, idfiles, langid, mixing, neardup, neighbours, packing, sharding, toxicity
 from metaquarry.llm.common import table
 
 SHARDS = 40
+QUERY_EVERY, BEST = 50, 5
 
 
 #: Four domains by the sources' names, and the weights of domains, languages and sources; others weigh 1.
@@ -40,6 +41,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.beside_next(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % QUERY_EVERY == 0, BEST)
+
+
 def op6_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", 1)
 
@@ -57,5 +62,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_fingerprints": op4_fingerprints, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op9_neardup": op9_neardup, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.oracle(MIX_DOMAIN, MIX_WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED)}
+QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_fingerprints": op4_fingerprints, "op5_neighbours": op5_neighbours, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op9_neardup": op9_neardup, "op10_packing": op10_packing}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.oracle(MIX_DOMAIN, MIX_WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED),
+    "op5_neighbours": neighbours.oracle(QUERY_EVERY, BEST),
+}
