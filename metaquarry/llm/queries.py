@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaquarry.llm import fingerprints, idfiles, langid, mixing, neardup, neighbours, packing, sharding, toxicity
+from metaquarry.llm import fingerprints, idfiles, langid, linededup, mixing, neardup, neighbours, packing, sharding, toxicity
 from metaquarry.llm.common import table
 
 SHARDS = 40
@@ -54,6 +54,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.joined(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_fingerprints": op4_fingerprints, "op5_neighbours": op5_neighbours, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op9_neardup": op9_neardup, "op10_packing": op10_packing}
+QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_toxicity": op3_toxicity, "op4_fingerprints": op4_fingerprints, "op5_neighbours": op5_neighbours, "op6_idfiles": op6_idfiles, "op7_sharding": op7_sharding, "op8_linededup": op8_linededup, "op9_neardup": op9_neardup, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(MIX_DOMAIN, MIX_WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED),
     "op5_neighbours": neighbours.oracle(QUERY_EVERY, BEST),
