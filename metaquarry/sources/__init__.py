@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers and writers: codebook XML, XML schemas, RDF text, JSON."""

@@ -57,7 +57,7 @@ COMPLEX_TYPE = f"`_xml:id` string, _id string, _name string, sequence struct<ele
 
 def read_schema_elements(spark: SparkSession, path: str) -> DataFrame:
     """class, element, min, max, types: what an XML schema's complex types say of their elements and of the elements in those."""
-    types = spark.read.format("xml").options(rowTag="xs:complexType", attributePrefix="_", ignoreNamespace="true").schema(COMPLEX_TYPE).load(path)
+    types = spark.read.format("xml").options(rowTag="complexType", ignoreNamespace="true").schema(COMPLEX_TYPE).load(path)
     name = F.coalesce("`_xml:id`", "_id", "_name")
     none = F.array().cast(_ELEMENTS)
     rows = types.select(F.regexp_replace(name, "XsdType$", "").alias("class"), F.explode(F.concat(F.coalesce("sequence.element", none), F.coalesce("complexContent.extension.sequence.element", none))).alias("e"))
