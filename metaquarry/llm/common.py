@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import shutil
 import tempfile
@@ -35,20 +36,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/metaquarry/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, tag: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read again: lineage ends there, and no executor's loss costs it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables that no later step reads."""
+    """Deletes tables that no later step reads, and lets Spark's cleaner find the shuffle files behind them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def renamed(columns: list[str], wanted: str) -> str:
