@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaquarry.llm.common import cuts, looked_up, range_of
-from metaquarry.llm.words import text_shingles
+from metaquarry.llm.words import mixed, text_shingles
 
 BINS, BITS = 512, 4
 #: Rows in a range of doc_ids, on average, and the most ranges, which bounds what the driver holds.
@@ -33,6 +33,7 @@ FEW = 96
 _ORDERS = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1).astype(np.int16)
 _RANKS = np.argsort(_ORDERS, axis=1).astype(np.int16)
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
+_SALTS = mixed(np.arange(BINS, dtype=np.uint64))
 EMPTY = "e:"
 
 
@@ -42,25 +43,24 @@ def bins(shingles: np.ndarray) -> np.ndarray | None:
         return None
     place = (shingles >> _SHIFT).astype(np.int64)
     first = np.flatnonzero(np.diff(place, prepend=-1))
-    out = np.zeros(BINS, np.uint8)
     full = place[first]
-    out[full] = (shingles[first] & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    donor = np.arange(BINS)
     if len(full) < BINS:
         has = np.zeros(BINS, bool)
         has[full] = True
         lack = np.flatnonzero(~has)
         if len(full) <= FEW:
-            donor = full[_RANKS[np.ix_(lack, full)].argmin(axis=1)]
+            donor[lack] = full[_RANKS[np.ix_(lack, full)].argmin(axis=1)]
         else:
-            donor = np.empty(len(lack), np.int64)
-            left, k = np.arange(len(lack)), 0
+            left, k = lack, 0
             while len(left):
-                at = _ORDERS[lack[left], k]
+                at = _ORDERS[left, k]
                 ok = has[at]
                 donor[left[ok]] = at[ok]
                 left, k = left[~ok], k + 1
-        out[lack] = out[donor]
-    return out
+    hashes = np.zeros(BINS, np.uint64)
+    hashes[full] = shingles[first]
+    return (mixed(hashes[donor] ^ _SALTS) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def packed(values: np.ndarray | None) -> str:
