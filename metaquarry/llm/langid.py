@@ -205,11 +205,11 @@ def predicted(docs: DataFrame, model: Model, into: tuple[str, str, str] = ("lang
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and mixture of every document; learned from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score and mixture (as JSON) of every document; learned from the rows that aren't held out."""
     apart = held_out(F.col("doc_id"), 3, 1)
     model = learn(docs, ~apart)
     rows = predicted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")), model)
-    return rows.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "mixture")
+    return rows.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", F.to_json("mixture").alias("mixture"))
 
 
 def with_language(docs: DataFrame) -> DataFrame:

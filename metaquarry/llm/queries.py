@@ -55,7 +55,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_counts(table(spark, sf_dir, "documents"))
+    rows = linededup.line_counts(table(spark, sf_dir, "documents"))
+    return rows.withColumn("removed", F.array_join("removed", ","))
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
