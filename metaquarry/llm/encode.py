@@ -9,11 +9,12 @@ batch go to the library together, parted by a special token, beside which it enc
 
 from __future__ import annotations
 
-from itertools import islice
+import gc
+from array import array
 
 import numpy as np
 
-#: Words that a worker remembers; further ones are encoded again in each batch. About 300 bytes each.
+#: Words that a worker remembers once they come again; further ones are encoded anew in each step. About 300 bytes each.
 REMEMBERED = 500_000
 #: New words in one call of the library.
 AT_ONCE = 20_000
@@ -45,6 +46,7 @@ class Encoder:
         self.mark_id = self.special[self.mark]
         self.known: dict[str, bytes] = {}
         self.closing: dict[str, bytes] = {}
+        self.seen = bytearray(1 << 22)
         self.edge = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
         for piece, i in self.library.get_vocab(with_added_tokens=False).items():
             self.edge[i] = piece.endswith("</w>") if kind == "word" else piece.startswith("\u0120")
@@ -94,8 +96,17 @@ class Encoder:
                 cores.add(core)
             else:
                 rest.append(w)
-        own = {c: self.known[c] for c in cores if c in self.known}
-        self._learn_letters([c for c in cores if c not in own], own)
+        get = self.known.get
+        own = {c: v for c in cores if (v := get(c)) is not None}
+        part, lead, lower = self.library.model.tokenize, "" if self.kind == "word" else "\u0120", self.kind == "word"
+        other = []
+        for c in cores:
+            if c not in own:
+                if c.isascii():  # what comes before the model leaves ASCII letters as they are but for case
+                    own[c] = array("I", [t.id for t in part(c.lower() if lower else lead + c)]).tobytes()
+                else:
+                    other.append(c)
+        self._learn_letters(other, own)
         self._learn([m for m in {w[len(c) :] for w, c in split} if m and m not in self.closing], "", self.closing)
         for w, c in split:
             into[w] = own[c] + self.closing[w[len(c) :]] if len(w) > len(c) else own[c]
@@ -105,6 +116,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; null is empty."""
+        gc.disable()  # millions of short-lived strings, none of them in a cycle
+        try:
+            return self._steps(texts)
+        finally:
+            gc.enable()
+
+    def _steps(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
@@ -148,8 +166,13 @@ class Encoder:
         self._learn([w for w in fresh if byte and w not in odd and w[0] == "\n"], "", got)
         self._learn_words([w for w in fresh if w not in odd and w not in got], got)
         ids |= got
-        if room := max(0, REMEMBERED - len(self.known)):
-            self.known.update(islice(got.items(), room))
+        if len(self.known) < REMEMBERED:
+            seen, mask, known = self.seen, len(self.seen) - 1, self.known
+            for w, v in got.items():  # the second time that a word is new to a step
+                if seen[h := hash(w) & mask]:
+                    known[w] = v
+                else:
+                    seen[h] = 1
         begin = {"": b""}
         self._learn([w for w in first if w], "", begin)
         out = []
