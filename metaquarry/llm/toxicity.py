@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metaquarry.llm.common import renamed
+from metaquarry.llm.common import drop, renamed, stored
 from metaquarry.llm.words import mixed, raw_texts, steps, word_spans
 
 BITS = 22
@@ -54,27 +54,33 @@ class Model:
     constant: float
 
 
+def _text_counts(texts: list[np.ndarray]) -> np.ndarray:
+    """In how many texts each feature is."""
+    out = np.zeros(1 << BITS, np.int32)
+    for x in texts:
+        out[x] += 1
+    return out
+
+
 def train(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> Model:
     """toxic, other: distinct features of each confirmed and each unlabelled text."""
     if not toxic or not other:
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
-    p, u = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (toxic, other))
-    a, b = (p + 0.5) / (len(toxic) + 1), (u + 0.5) / (len(other) + 1)
+    p, u = _text_counts(toxic), _text_counts(other)
+    some = np.flatnonzero(p >= 3)  # of a sample's many features few are that common among the confirmed
+    a, b = (p[some] + 0.5) / (len(toxic) + 1), (u[some] + 0.5) / (len(other) + 1)
     apart = (a - b) / np.sqrt(a * (1 - a) / len(toxic) + b * (1 - b) / len(other))
-    surprise = (p - len(toxic) * b) / np.sqrt(len(toxic) * b)  # against as many as chance gives
-    telling = (p >= 3) & (surprise > SURPRISE) & (prior * a >= TELLING * b)  # of the texts with it, about so many are toxic
-    apart[~telling] = -1
-    places = np.sort(np.argsort(-apart, kind="stable")[:KEPT])
-    places = places[apart[places] > 0]
+    surprise = (p[some] - len(toxic) * b) / np.sqrt(len(toxic) * b)  # against as many as chance gives
+    telling = (surprise > SURPRISE) & (prior * a >= TELLING * b) & (apart > 0)  # of the texts with it, about so many are toxic
+    places = np.sort(some[telling][np.argsort(-apart[telling], kind="stable")[:KEPT]])
     if not len(places):
         return Model(places, np.zeros(0), float(np.log(prior / (1 - prior))))
-    slot = np.full(1 << BITS, -1, np.int64)
+    slot = np.full(1 << BITS, -1, np.int32)
     slot[places] = np.arange(len(places))
 
     def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rows, columns = np.repeat(np.arange(len(texts)), [len(x) for x in texts]), slot[np.concatenate(texts)]
-        ok = columns >= 0
-        return rows[ok], columns[ok]
+        own = [x[x >= 0] for x in (slot[t] for t in texts)]
+        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
 
     (pr, pc), (ur, uc) = matrix(toxic), matrix(other)
     w, c = np.zeros(len(places)), float(np.log(prior / (1 - prior)))
@@ -132,8 +138,10 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     kinds = F.filter(F.array(F.when(F.col("of").isNotNull(), 1), F.when(other, 0)), lambda x: x.isNotNull())
     rows = rows.where(F.col("of").isNotNull() | other).select("text", F.explode(kinds).alias("kind"))
     parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for x in _distinct(rows).collect():
-        parts[x["kind"]].append(np.frombuffer(x["features"], "<u4").astype(np.int64))
+    sampled, at = stored(_distinct(rows).repartition(16), "features")  # made in parallel, read a part at a time
+    for x in sampled.toLocalIterator():
+        parts[x["kind"]].append(np.frombuffer(bytes(x["features"]), "<u4"))
+    drop(docs.sparkSession, at)
     return train(parts[1], parts[0], prior)
 
 
