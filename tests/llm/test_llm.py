@@ -449,6 +449,26 @@ def test_line_dedup(docs, wide, corpus, none):
     assert linededup.line_counts(none).count() == 0 and linededup.deduplicated(none).count() == 0
 
 
+def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
+    rng = random.Random(11)
+    lines = []
+    for n in (2, 4, 6, 8, 12, 18, 25, 40, 60):
+        for _ in range(2):
+            line = " ".join(words(rng, n))
+            at = rng.randrange(len(line))
+            w = line.split(" ")
+            w[rng.randrange(n)] = "x" * max(1, len(line) // 20)
+            lines += [line, line[:at] + "q" + line[at + 1 :], " ".join(w)]
+    lines = sorted(set(lines))
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if abs(len(lines[a]) - len(lines[b])) <= 0.15 * max(len(lines[a]), len(lines[b])) and _levenshtein(lines[a], lines[b]) <= int(max(len(lines[a]), len(lines[b])) * (1 - linededup.ALIKE) + 1e-9)]
+    top = roots(range(len(lines)), links)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    stays = {r.doc_id for r in linededup.deduplicated(docs).collect()}
+    missed = stays - set(top.values())
+    assert set(top.values()) <= stays and len(missed) <= 1 and all(len(lines[i]) > linededup.EXACT for i in missed)
+    assert len(set(top.values())) < len(lines) - 20
+
+
 # near duplicates
 
 
