@@ -469,6 +469,12 @@ def test_line_dedup_finds_lines_by_edit_similarity_alone(spark):
     assert len(set(top.values())) < len(lines) - 20
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(7, "alpha one\nbravo two"), (7, "charlie three\nalpha one"), (None, "delta four\necho five"), (None, "foxtrot six\ndelta four"), (None, "golf seven"), (8, "golf seven")]
+    kept = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "delta four\necho five"), (0, "foxtrot six"), (0, "golf seven"), (7, "alpha one\nbravo two"), (7, "charlie three")]
+
+
 # near duplicates
 
 
