@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaquarry.functions import terms
@@ -233,9 +233,9 @@ def topological_levels(spark, d):
 
 @query("WITH " + LINKS + " SELECT 100.0::DOUBLE AS rate")
 def topological_rate(spark, d):
-    some = links(spark, d).where("child LIKE 'nation/%'")
+    some = links(spark, d)
     nodes = some.select(F.col("child").alias("node")).union(some.select("parent")).distinct()
-    order = graph.levels(nodes, some).withColumn("position", F.row_number().over(Window.orderBy("level", "node")))  # as many rows as nations and regions
+    order = graph.levels(nodes, some).withColumn("position", F.struct("level", "node"))
     return schemas.order_rate(order, some)
 
 

@@ -220,3 +220,13 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/b.xml").write_text(BOOK)
     ingest.append_codebooks(ingest.codebook_texts(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/batch=0/variables").count() == 3
+
+
+def test_topological_rate_takes_all_links(spark, monkeypatch):
+    from metaquarry.operators import schemas
+    from metaquarry.plans import bindings, catalog
+
+    d, seen, rate = "/root/testdata/sf0.001", [], schemas.order_rate
+    monkeypatch.setattr(schemas, "order_rate", lambda order, links: (seen.append(links.count()), rate(order, links))[1])
+    assert catalog.QUERIES["topological_rate"](spark, d).first()["rate"] == 100.0
+    assert seen == [bindings.links(spark, d).count()] and seen[0] > 100
