@@ -47,7 +47,7 @@ def _letters() -> np.ndarray:
     """Which code points are letters."""
     if not _LETTERS:
         flags = np.zeros(sys.maxunicode + 1, dtype=bool)
-        flags[[c for c in range(0x32000) if chr(c).isalpha()]] = True
+        flags[[c for c in range(sys.maxunicode + 1) if chr(c).isalpha()]] = True
         _LETTERS.append(flags)
     return _LETTERS[0]
 

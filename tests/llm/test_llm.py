@@ -287,6 +287,11 @@ def test_languages(spark, docs, wide, corpus, none):
     assert {r.lang_pred for r in langid.identified(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_letters_of_all_planes():
+    flags = langid._letters()
+    assert flags[0x32000] and all(flags[c] == chr(c).isalpha() for c in range(0x31F00, 0x32500))
+
+
 def test_mixture_finds_proportions():
     rng = np.random.default_rng(1)
     a = np.log(np.array([[0.8, 0.1, 0.1]])) + rng.normal(0, 0.3, (70, 3))
