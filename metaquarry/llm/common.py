@@ -36,11 +36,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/metaquarry/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+def stored(df: DataFrame, tag: str, compression: str = "zstd", options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read again: lineage ends there, and no executor's loss costs it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**(options or {})).option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
