@@ -43,6 +43,21 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
 
 
+def without_tags(text: Column) -> Column:
+    """Markup's text: each tag becomes a space, and the ends are trimmed."""
+    return stripped(F.regexp_replace(text, "<[^>]*>", " "))
+
+
+def xml_escaped(text: Column) -> Column:
+    """Fit for the text of an element."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("\r"), F.lit("&#13;"))
+
+
+def json_field(text: Column, name: str) -> Column:
+    """One top-level field of a JSON object as text."""
+    return F.get_json_object(text, f"$['{name}']")
+
+
 def last_part(name: Column, by: str) -> Column:
     return F.substring_index(name, by, -1)
 
@@ -122,7 +137,7 @@ def field_ddl(name: Column, range_name: Column, card: Column) -> Column:
 def valid_uri(uri: Column) -> Column:
     """http, https and ftp with a host, or a urn with a namespace and a name; others are not."""
     web = uri.rlike(r"^(?i)(?:https?|ftp)://[^/?#\s]+")
-    urn = uri.rlike(r"^(?i)urn:[a-z0-9][a-z0-9-]{0,31}:\S+$")
+    urn = uri.rlike(r"^(?i)urn:[a-z0-9][a-z0-9-]{0,31}:[a-z0-9()+,\-.:=@;$_!*'%/?#]+$")
     return F.coalesce(web | urn, F.lit(False))
 
 

@@ -63,7 +63,7 @@ def normalise(codebooks: DataFrame) -> Tables:
     variables = items.select(
         "doc_id", "var_id", "pos", F.col("v._name").alias("name"), F.get("v.labl", F.lit(0))["_VALUE"].alias("label"), F.col("v._files").alias("files"), F.col("v.varFormat._type").alias("format_type"), "n_categories",
         F.coalesce(F.size(F.filter("v.catgry", lambda c: F.coalesce(c["_missing"], F.lit("N")) == "Y")), F.lit(0)).alias("n_missing"),
-        (F.coalesce(F.size("v.qstn"), F.lit(0)) > 0).alias("has_question"),
+        (F.coalesce(F.size("v.qstn"), F.lit(0)) > 0).alias("has_question"), F.transform("v.sumStat", lambda s: F.struct(s["_type"].alias("type"), s["_VALUE"].alias("value"))).alias("statistics"),
     )
     categories = items.select("doc_id", "var_id", F.col("pos").alias("var_pos"), F.posexplode("v.catgry").alias("pos", "c")).select(
         "doc_id", "var_id", "var_pos", "pos", F.col("c.catValu").alias("value"), F.get("c.labl", F.lit(0))["_VALUE"].alias("label"), (F.coalesce(F.col("c._missing"), F.lit("N")) == "Y").alias("is_missing"),
@@ -84,14 +84,16 @@ def in_file(files: Column, file_id: str, strict: bool = False) -> Column:
     return F.coalesce(F.array_contains(F.split(F.trim(files), r"\s+"), file_id), F.lit(False))
 
 
-def search(variables: DataFrame, file_id: str | None = None, name: str | None = None, label: str | None = None, has_categories: bool | None = None, has_question: bool | None = None, strict: bool = False) -> DataFrame:
-    """Variables by file, by patterns from the start of name and label, and by whether they have categories or a question. strict: only the file counts."""
+def search(variables: DataFrame, file_id: str | None = None, name: str | None = None, label: str | None = None, has_categories: bool | None = None, has_question: bool | None = None, strict: bool = False, name_part: str | None = None) -> DataFrame:
+    """Variables by file, by patterns from the start of name and label, by a part of the name in any case, and by whether they have categories or a question. strict: only the file counts."""
     if file_id is not None:
         variables = variables.where(in_file(F.col("files"), file_id, strict))
     if strict:
         return variables
     if name is not None:
         variables = variables.where(matches_from_start(F.col("name"), name))
+    if name_part is not None:
+        variables = variables.where(F.contains(F.lower("name"), F.lit(name_part.lower())))
     if label is not None:
         variables = variables.where(matches_from_start(F.col("label"), label))
     if has_categories is not None:
@@ -127,6 +129,17 @@ def category_counts(categories: DataFrame, key: list[str]) -> DataFrame:
     return categories.groupBy(*key).agg(n.alias("n_categories"), missing.alias("n_missing"), (n - missing).alias("n_non_missing"))
 
 
+def category_statistics(categories: DataFrame) -> DataFrame:
+    """doc_id, var_id, value, label, type, text, number: the statistics that the codebook gives for each category; number is null where text isn't one."""
+    return categories.select("doc_id", "var_id", "value", "label", F.explode("statistics").alias("x")).select("doc_id", "var_id", "value", "label", F.coalesce("x.type", F.lit("freq")).alias("type"), F.col("x.value").alias("text"), F.col("x.value").try_cast("double").alias("number"))
+
+
+def summary_statistics(variables: DataFrame, types: list[str]) -> DataFrame:
+    """doc_id, var_id and a column for each type: the summary statistics that the codebook gives for each variable, the greatest of several."""
+    rows = variables.select("doc_id", "var_id", F.explode("statistics").alias("x"))
+    return rows.groupBy("doc_id", "var_id").agg(*[F.max(F.when(F.col("x.type") == t, F.col("x.value").try_cast("double"))).alias(t) for t in types])
+
+
 def type_distribution(variables: DataFrame) -> DataFrame:
     """How many variables have each format type; `unknown` without one."""
     return variables.groupBy(F.coalesce("format_type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))

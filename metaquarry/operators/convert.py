@@ -148,5 +148,28 @@ def unpivoted(rows: DataFrame, uri: Column, cls: str, literals: dict[str, Column
     return rows.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("t")).select("t.*")
 
 
+def inserted(rows: DataFrame, classes: list[str]) -> DataFrame:
+    """rows (seq, type, uri, ...) with `problem`: no uri, unknown type, or replaced by a later row of one uri; null for those that stay."""
+    bad = F.when(F.col("uri").isNull(), "no uri").when(F.col("type").isNull() | ~F.col("type").isin(classes), "unknown type")
+    rows = rows.withColumn("problem", bad)
+    last = rows.where("problem IS NULL").groupBy(F.col("uri").alias("of_")).agg(F.max("seq").alias("last_"))
+    return rows.join(last, F.expr("uri = of_"), "left").withColumn("problem", F.coalesce("problem", F.when(F.col("seq") < F.col("last_"), "replaced"))).drop("of_", "last_")
+
+
+def name_nodes(rows: DataFrame) -> DataFrame:
+    """Triples of structured names and labels of resources (uri, name, label): an ObjectName, and a LabelForDisplay with one LanguageString."""
+    iri = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"))
+    text = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("literal").alias("o_kind"), F.lit(NAMESPACES["xsd"] + "string").alias("o_datatype"))
+    at = lambda part: F.concat(F.col("uri"), F.lit(f"#{part}"))
+    cls = lambda c: F.lit(CDI + c)
+    name, label, content = at("name"), at("displayLabel"), at("displayLabel-text")
+    names = F.when(F.col("name").isNotNull(), F.array(iri(F.col("uri"), CDI + "name", name), iri(name, RDF_TYPE, cls("ObjectName")), text(name, CDI + "name", F.col("name"))))
+    labels = F.when(F.col("label").isNotNull(), F.array(
+        iri(F.col("uri"), CDI + "displayLabel", label), iri(label, RDF_TYPE, cls("LabelForDisplay")), iri(label, CDI + "languageSpecificString", content), iri(content, RDF_TYPE, cls("LanguageString")), text(content, CDI + "content", F.col("label")),
+    ))
+    out = rows.select(F.explode(F.flatten(F.filter(F.array(names, labels), lambda x: x.isNotNull()))).alias("t")).select("t.*")
+    return out.withColumn("o_lang", F.lit(None).cast("string"))
+
+
 def variables_in(tables: Tables, file_id: str, strict: bool = False) -> DataFrame:
     return tables.variables.where(in_file(F.col("files"), file_id, strict))

@@ -98,51 +98,49 @@ def edges(triples: DataFrame, p: str) -> DataFrame:
     return pattern(triples, p=p).select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct()
 
 
-def closure(links: DataFrame, max_depth: int = 60) -> DataFrame:
+def closure(links: DataFrame) -> DataFrame:
     """All ancestors by links (child, parent): child, ancestor, depth (the least). Cycles end, and no node is its own ancestor.
 
-    Semi-naive: each turn joins only what was new in the last one. Every turn's result is checkpointed to the shared
-    folder, so lineage stays short and no lost executor costs more than a turn. The turns are as many as the longest path."""
+    Semi-naive: each turn joins only what was new in the last one, and only that is written (to the shared folder, so
+    lineage stays short and no lost executor costs more than a turn). As many turns as the longest shortest path."""
     from metaquarry.operators.shared import cut
 
     links = cut(links.select("child", "parent").where("child <> parent").distinct())
-    known = links.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    new = known
-    for depth in range(2, max_depth + 1):
+    known = new = links.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    depth = 1
+    while True:
+        depth += 1
         step = new.select("child", F.col("ancestor").alias("via")).join(links.withColumnRenamed("child", "via"), "via")
         step = step.where("child <> parent").select("child", F.col("parent").alias("ancestor")).distinct()
         new = cut(step.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return known
-        known = cut(known.unionByName(new.select("child", "ancestor", "depth")))
-    raise RuntimeError(f"the hierarchy is deeper than {max_depth}")
+        known = known.unionByName(new.select("child", "ancestor", "depth"))
 
 
-def ancestors(links: DataFrame, node: str, max_depth: int = 60) -> DataFrame:
+def ancestors(links: DataFrame, node: str) -> DataFrame:
     """All ancestors of one node, without itself."""
-    return _reached(links, node, "child", "parent", max_depth)
+    return _reached(links, node, "child", "parent")
 
 
-def descendants(links: DataFrame, node: str, max_depth: int = 60) -> DataFrame:
+def descendants(links: DataFrame, node: str) -> DataFrame:
     """All descendants of one node, without itself."""
-    return _reached(links, node, "parent", "child", max_depth)
-
-
-def _reached(links: DataFrame, node: str, source: str, target: str, max_depth: int) -> DataFrame:
-    """By one recursive query: the path in each row ends cycles."""
-    spark = links.sparkSession
-    steps = links.select(F.col(source).alias("from_"), F.col(target).alias("to_"))
-    return spark.sql(
-        f"""
-        WITH RECURSIVE reach(node, path, depth) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT :start, array(:start), 0
-          UNION ALL
-          SELECT l.to_, array_append(r.path, l.to_), r.depth + 1 FROM reach r JOIN {{links}} l ON l.from_ = r.node
-          WHERE NOT array_contains(r.path, l.to_))
-        SELECT DISTINCT node FROM reach WHERE node <> :start""",
-        args={"start": node},
-        links=steps,
-    )
+    return _reached(links, node, "parent", "child")
+
+
+def _reached(links: DataFrame, node: str, source: str, target: str) -> DataFrame:
+    """A breadth-first search from one node: each turn follows the links of the nodes that are new, of which each is visited once."""
+    from metaquarry.operators.shared import cut
+
+    steps = cut(links.select(F.col(source).alias("node"), F.col(target).alias("to_")).where("node <> to_").distinct())
+    start = links.sparkSession.range(1).select(F.lit(node).alias("node"))
+    known = new = start
+    while True:
+        step = new.join(steps, "node").select(F.col("to_").alias("node")).distinct()
+        new = cut(step.join(known, "node", "left_anti"))
+        if new.isEmpty():
+            return known.where(F.col("node") != node)
+        known = known.unionByName(new)
 
 
 def roots(triples: DataFrame, cls: str, p: str) -> DataFrame:
@@ -156,29 +154,24 @@ def parent_map(links: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, level: every parent within the given nodes has a lower level; nodes on cycles come last with a null level."""
-    inside = links.join(nodes.select(F.col("node").alias("child")), "child", "left_semi").join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi")
-    deep = closure(inside)
-    cyclic = deep.select("child", "ancestor").join(deep.select(F.col("ancestor").alias("child"), F.col("child").alias("ancestor")), ["child", "ancestor"], "left_semi").select(F.col("child").alias("node")).distinct()
-    paths = _longest(inside.join(cyclic.withColumnRenamed("node", "child"), "child", "left_anti").join(cyclic.withColumnRenamed("node", "parent"), "parent", "left_anti"))
-    out = nodes.select("node").distinct().join(paths, "node", "left")
-    stuck = cyclic.withColumn("stuck", F.lit(True))
-    return out.join(stuck, "node", "left").select("node", F.when(F.col("stuck").isNull(), F.coalesce("level", F.lit(0))).alias("level"))
-
-
-def _longest(links: DataFrame, max_depth: int = 60) -> DataFrame:
-    """The longest path up from each node of an acyclic graph, by as many joins as it is long."""
+    """node, level: every parent within the given nodes has a lower level; nodes on cycles, and those under them, come last with a null level.
+
+    Layers are peeled off: each turn takes the nodes all of whose parents have a level, and drops the links from them."""
     from metaquarry.operators.shared import cut
 
-    links = cut(links)
-    at = links.select(F.col("child").alias("node")).distinct()
-    out = at.withColumn("level", F.lit(1))
-    for depth in range(2, max_depth + 1):
-        at = cut(links.join(at.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")).distinct())
-        if at.isEmpty():
-            return out.groupBy("node").agg(F.max("level").alias("level"))
-        out = cut(out.unionByName(at.withColumn("level", F.lit(depth))))
-    raise RuntimeError(f"the hierarchy is deeper than {max_depth}")
+    nodes = cut(nodes.select("node").distinct())
+    inside = links.where("child <> parent").join(nodes.select(F.col("node").alias("child")), "child", "left_semi").join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi")
+    left, waiting, level, out = cut(inside.select("child", "parent").distinct()), nodes, 0, None
+    while True:
+        free = cut(waiting.join(left.select(F.col("child").alias("node")).distinct(), "node", "left_anti"))
+        if free.isEmpty():
+            stuck = waiting.withColumn("level", F.lit(None).cast("int"))
+            return stuck if out is None else out.unionByName(stuck)
+        layer = free.withColumn("level", F.lit(level))
+        out = layer if out is None else out.unionByName(layer)
+        waiting = cut(waiting.join(free, "node", "left_anti"))
+        left = cut(left.join(free.withColumnRenamed("node", "parent"), "parent", "left_anti").select("child", "parent"))
+        level += 1
 
 
 def search(triples: DataFrame, cls: str, text: str) -> DataFrame:
@@ -186,6 +179,11 @@ def search(triples: DataFrame, cls: str, text: str) -> DataFrame:
     return instances(triples, cls).where(found_in(F.col("s"), text)).orderBy("s")
 
 
+def labelled(triples: DataFrame, p: str, text: str) -> DataFrame:
+    """s, label: subjects whose property's literal has the text anywhere, whatever the case."""
+    return pattern(triples, p=p).where((F.col("o_kind") == "literal") & F.contains(F.lower("o"), F.lit(text.lower()))).select("s", F.col("o").alias("label"))
+
+
 def statistics(triples: DataFrame) -> DataFrame:
     """kind (triples, type, property), name, n: one pass over the triples."""
     rows = triples.select(F.explode(F.filter(F.array(

@@ -30,6 +30,7 @@ class Field:
 class Class:
     iri: str
     fields: tuple[Field, ...]
+    parent: str | None = None
 
 
 class Registry:
@@ -40,6 +41,20 @@ class Registry:
     def class_for(self, iri: str) -> Class | None:
         return self.by_iri.get(iri)
 
+    def below(self, base: str) -> list[str]:
+        """The base class, if it is there, and all classes under it, in the registry's order."""
+        out, found = {base}, True
+        while found:
+            found = {c.iri for c in self.by_iri.values() if c.parent in out} - out
+            out |= found
+        return [c for c in self.order if c in out]
+
+    def depth(self, cls: str, above: tuple[str, ...] = ()) -> int:
+        """How deep references go from a class, to where one refers back to a class above it."""
+        if cls in above or cls not in self.by_iri:
+            return 0
+        return max((1 + self.depth(f.refers_to, (*above, cls)) for f in self.by_iri[cls].fields if f.refers_to), default=0)
+
     def first_match(self, types: Column) -> Column:
         """Of a subject's types, the first that the registry has."""
         return F.coalesce(*[F.when(F.array_contains(types, c), c) for c in self.order], F.lit(None).cast("string"))
@@ -53,6 +68,13 @@ def typed_subjects(triples: DataFrame, registry: Registry, root_types: list[str]
     return rows.groupBy("s").agg(F.collect_set("o").alias("types")).select("s", registry.first_match(F.col("types")).alias("type"))
 
 
+def typed_below(triples: DataFrame, registry: Registry, base: str) -> DataFrame:
+    """s, type: typed subjects with the first of their classes that is the base or lies below it, null where none does."""
+    wanted = registry.below(base)
+    types = graph.pattern(triples, p=RDF_TYPE).groupBy("s").agg(F.collect_set(F.when(F.col("o").isin(wanted), F.col("o"))).alias("types"))
+    return types.select("s", F.coalesce(*[F.when(F.array_contains("types", c), c) for c in wanted], F.lit(None).cast("string")).alias("type"))
+
+
 def rejects(triples: DataFrame, registry: Registry, root_types: list[str] | None = None) -> DataFrame:
     """Subjects that can't become objects, and why."""
     return typed_subjects(triples, registry, root_types).where("type IS NULL").select("s", F.lit("no class for its types").alias("reason"))
@@ -71,10 +93,10 @@ def flat(triples: DataFrame, cls: Class, subjects: DataFrame) -> DataFrame:
     return subjects.select("s").join(found, "s", "left")
 
 
-def objects(triples: DataFrame, registry: Registry, cls: str, max_depth: int = 4) -> DataFrame:
-    """Rows of one class, references nested: s and its fields."""
+def objects(triples: DataFrame, registry: Registry, cls: str, max_depth: int | None = None) -> DataFrame:
+    """Rows of one class, references nested as deep as the registry goes (or to max_depth): s and its fields."""
     typed = typed_subjects(triples, registry)
-    return _nested(triples, registry, typed, cls, max_depth)
+    return _nested(triples, registry, typed, cls, registry.depth(cls) if max_depth is None else max_depth)
 
 
 def _nested(triples: DataFrame, registry: Registry, typed: DataFrame, cls: str, depth: int) -> DataFrame:
@@ -94,17 +116,21 @@ def _nested(triples: DataFrame, registry: Registry, typed: DataFrame, cls: str,
     return rows.select("s", *[f.name for f in own.fields])
 
 
-def deserialize(triples: DataFrame, registry: Registry, root_types: list[str] | None = None, max_depth: int = 4) -> dict[str, DataFrame]:
+def deserialize(triples: DataFrame, registry: Registry, root_types: list[str] | None = None, max_depth: int | None = None) -> dict[str, DataFrame]:
     """For each class of the registry (or each of root_types) its objects."""
     return {c: objects(triples, registry, c, max_depth) for c in registry.order if root_types is None or c in root_types}
 
 
-def one(triples: DataFrame, registry: Registry, s: str, max_depth: int = 4) -> DataFrame:
-    """The object of one subject; no row if it has no type. A type without a class is an error."""
-    types = [r["o"] for r in graph.objects(triples, s, RDF_TYPE).limit(100).collect()]
-    if not types:
-        return triples.sparkSession.createDataFrame([], "s string")
-    found = [c for c in registry.order if c in types]
+def one(triples: DataFrame, registry: Registry, s: str, max_depth: int | None = None, base: str | None = None) -> DataFrame:
+    """The object of one subject; no row if it has no type. Types without a class are an error, or no row if a base class is asked for."""
+    types = graph.objects(triples, s, RDF_TYPE)
+    has = {r["o"] for r in types.where(F.col("o").isin(registry.order)).distinct().collect()}  # as many as the registry has, at most
+    nothing = triples.sparkSession.createDataFrame([], "s string")
+    if not has and types.isEmpty():
+        return nothing
+    found = [c for c in (registry.order if base is None else registry.below(base)) if c in has]
+    if not found and base is not None:
+        return nothing
     if not found:
         raise ValueError(f"no class for the types of {s}")
     return objects(triples, registry, found[0], max_depth).where(F.col("s") == s)

@@ -35,19 +35,38 @@ def enumeration_constants(triples: DataFrame) -> DataFrame:
     return rows.select("enumeration", F.upper(F.regexp_replace("label", r"\W+", "_")).alias("name"), F.col("uri").alias("value"), escaped(F.col("description")).alias("comment"))
 
 
-def class_order(triples: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, level, position: parents before children; nodes on cycles come last."""
+def class_order(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, level, position (from 1 within its level): by level and position, parents stand before children; nodes on cycles have no level and come last."""
     from pyspark.sql import Window
 
-    rows = graph.levels(nodes, ontology.subclass_links(triples))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.col("level").asc_nulls_last(), "node")))  # as many rows as classes
+    rows = graph.levels(nodes, links)
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("level").orderBy("node")))
 
 
-def order_rate(order: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: the percentage of links whose parent comes before its child."""
+def order_rate(order: DataFrame, links: DataFrame, count: str | None = None) -> DataFrame:
+    """One row: the percentage of links whose parent comes before its child, by order (node, position); and how many links there are, as `count`."""
     at = order.select("node", "position")
     rows = links.join(at.select(F.col("node").alias("child"), F.col("position").alias("c")), "child").join(at.select(F.col("node").alias("parent"), F.col("position").alias("p")), "parent")
-    return rows.agg(F.coalesce(F.round(F.avg((F.col("p") < F.col("c")).cast("double")) * 100, 2), F.lit(100.0)).alias("rate"))
+    rate = F.coalesce(F.round(F.avg((F.col("p") < F.col("c")).cast("double")) * 100, 2), F.lit(100.0)).alias("rate")
+    return rows.agg(rate, *([F.count("*").alias(count)] if count else []))
+
+
+def class_sources(triples: DataFrame, base: str, elements: DataFrame | None = None) -> DataFrame:
+    """class, parent (base where it has none), ddl (its own attributes, then the associations that start at it, as IRIs), n_attributes, n_associations, comment."""
+    classes = graph.instances(triples, ontology.UCMIS + "Class").withColumnRenamed("s", "class")
+    parents = graph.parent_map(ontology.subclass_links(triples)).select(F.col("child").alias("class"), "parent")
+    attributes = ontology.attributes(triples, elements)
+    attributes = (attributes if elements is not None else attributes.withColumn("display", F.lit(None).cast("string"))).select("owner", "uri", "label", "range", "display", F.lit(0).alias("kind"))
+    links = ontology.associations(triples, incoming=False, elements=elements)
+    links = links.select("owner", "uri", "label", F.lit("iri").alias("range"), (F.col("from_display") if elements is not None else F.lit(None).cast("string")).alias("display"), F.lit(1).alias("kind"))
+    members = attributes.unionByName(links)
+    fields = field_registry(members).join(members.select("uri", "kind").distinct().withColumnRenamed("uri", "rdf_term"), "rdf_term")
+    ddl = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "field", "ddl"))), lambda x: x["ddl"]), ", ")
+    per = fields.groupBy("class").agg(ddl.alias("ddl"), F.count_if(F.col("kind") == 0).alias("n_attributes"), F.count_if(F.col("kind") == 1).alias("n_associations"))
+    told = graph.pattern(triples, p=ontology.COMMENT).groupBy(F.col("s").alias("class")).agg(F.min("o").alias("comment"))
+    rows = classes.join(parents, "class", "left").join(per, "class", "left").join(told, "class", "left")
+    none = F.lit(0).cast("long")
+    return rows.select("class", F.coalesce("parent", F.lit(base)).alias("parent"), F.coalesce("ddl", F.lit("")).alias("ddl"), F.coalesce("n_attributes", none).alias("n_attributes"), F.coalesce("n_associations", none).alias("n_associations"), escaped(F.col("comment")).alias("comment"))
 
 
 def forward_references_fixed(source: DataFrame, known: list[str], column: str = "value") -> DataFrame:

@@ -46,9 +46,9 @@ def data_dictionary(spark, d):
     return codebook.data_dictionary(book(spark, d)).select("var_id", "name", "label", "n_categories", "has_question")
 
 
-@query(with_(VARIABLES, "SELECT var_id, name FROM v WHERE regexp_matches(name, '^(?:part.*1)', 'i')"))
+@query(with_(VARIABLES, "SELECT var_id, name FROM v WHERE regexp_matches(name, '^(?:[a-p].*[ #][a-z0-9]*1?)', 'i')"))
 def dictionary_name_regex(spark, d):
-    return codebook.data_dictionary(book(spark, d), name="PART.*1").select("var_id", "name")
+    return codebook.data_dictionary(book(spark, d), name="[A-P].*[ #][a-z0-9]*1?").select("var_id", "name")
 
 
 @query(with_(VARIABLES, "SELECT var_id, label FROM v WHERE regexp_matches(label, '^(?:[a-m]+)', 'i')"))
@@ -98,9 +98,9 @@ def titles(spark, d):
     return book(spark, d).documents.select("doc_id", "title", "alt_title")
 
 
-@query(with_(VARIABLES, "SELECT var_id FROM v WHERE regexp_matches(name, '^(?:part)', 'i') AND n_categories > 0 AND has_question"))
+@query(with_(VARIABLES, "SELECT var_id FROM v WHERE regexp_matches(name, '^(?:[a-r])', 'i') AND n_categories > 0 AND has_question"))
 def search_variables(spark, d):
-    return codebook.search(book(spark, d).variables, name="part", has_categories=True, has_question=True).select("var_id")
+    return codebook.search(book(spark, d).variables, name="[a-r]", has_categories=True, has_question=True).select("var_id")
 
 
 @query("SELECT coalesce(p_brand, 'unknown') AS type, count(*) AS n FROM part GROUP BY 1")
@@ -122,13 +122,13 @@ def local_name(spark, d):
 
 @query("SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM pages")
 def mixed_content_strip(spark, d):
-    return table(spark, d, "pages").select("page_id", terms.stripped(F.regexp_replace("html", "<[^>]*>", " ")).alias("text"))
+    return table(spark, d, "pages").select("page_id", terms.without_tags(F.col("html")).alias("text"))
 
 
-@query("SELECT item_id, '<b>' || text || '</b>end' AS flat FROM benchmark WHERE NOT regexp_matches(text, '[<&>]|^\\s|\\s$')")
+@query("SELECT item_id, '<b>' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '</b>end' AS flat FROM benchmark")
 def mixed_content_flat(spark, d):
-    rows = table(spark, d, "benchmark").where(~F.col("text").rlike(r"[<&>]|^\s|\s$"))
-    return rows.select("item_id", mixed_content(F.concat(F.lit("<a> <b>"), "text", F.lit("</b> end </a>"))).alias("flat"))
+    fragment = F.concat(F.lit("<a> <b>"), terms.xml_escaped(F.col("text")), F.lit("</b> end </a>"))
+    return table(spark, d, "benchmark").select("item_id", mixed_content(fragment).alias("flat"))
 
 
 # graphs
@@ -154,9 +154,9 @@ def class_frequency_all(spark, d):
     return graph.class_counts(triples(spark, d))
 
 
-@query(with_(TRIPLES, f"SELECT o AS class, count(*) AS n FROM t WHERE p = '{RDF_TYPE}' AND o IN (SELECT r_name FROM region UNION ALL SELECT 'Nation') GROUP BY 1"))
+@query(with_(TRIPLES, f"SELECT o AS class, count(*) AS n FROM t WHERE p = '{RDF_TYPE}' AND o IN ('Nation', 'Customer', 'Nothing') GROUP BY 1"))
 def class_frequency_of(spark, d):
-    names = table(spark, d, "region").select(F.col("r_name").alias("class")).unionByName(spark.range(1).select(F.lit("Nation").alias("class")))
+    names = spark.createDataFrame([("Nation",), ("Customer",), ("Nothing",)], "class string")
     return graph.class_counts(triples(spark, d), names)
 
 
@@ -171,17 +171,17 @@ def resource_properties(spark, d):
     return rows.select("s", "p", F.array_join("values", "|").alias("joined"), "value")
 
 
-@query("SELECT 'customer/' || c_custkey AS s, 'order/' || o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority LIKE '1%'")
+@query("SELECT 'customer/' || c_custkey AS s, 'order/' || o_orderkey AS o FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def optional_property(spark, d):
-    orders = table(spark, d, "orders").where("o_orderpriority LIKE '1%'")
-    facts = unpivoted(orders, iri("customer", "o_custkey"), "Buyer", {}, {"placed": iri("order", "o_orderkey")})
+    facts = unpivoted(table(spark, d, "orders"), iri("customer", "o_custkey"), "Buyer", {}, {"placed": iri("order", "o_orderkey")})
     return graph.optional(graph.instances(triples(spark, d), "Customer"), "s", facts, "placed", "o")
 
 
-@query("SELECT 'customer/' || c_custkey AS s FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT 'customer/' || c_custkey AS s FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def without_property(spark, d):
-    facts = unpivoted(table(spark, d, "orders"), iri("customer", "o_custkey"), "Buyer", {}, {"placed": iri("order", "o_orderkey")})
-    return graph.without(graph.instances(triples(spark, d), "Customer"), "s", facts, "placed")
+    status = F.when(F.col("o_orderstatus") == "F", iri("order", "o_orderkey"))
+    facts = unpivoted(table(spark, d, "orders"), iri("customer", "o_custkey"), "Buyer", {}, {"finished": status})
+    return graph.without(graph.instances(triples(spark, d), "Customer"), "s", facts, "finished")
 
 
 @query(with_(TRIPLES, "SELECT a.s AS start, c.o AS \"end\" FROM t a JOIN t b ON a.o = b.s JOIN t c ON b.o = c.s WHERE a.p = 'in' AND b.p = 'in' AND c.p = 'name'"))
@@ -219,9 +219,9 @@ def search_classes(spark, d):
     return graph.search(triples(spark, d), "Customer", "/1.*5")
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(p_type), 'steel')")
+@query(with_(TRIPLES, "SELECT s, o AS label FROM t WHERE p = 'name' AND contains(lower(o), 'er#0')"))
 def label_contains(spark, d):
-    return table(spark, d, "part").where(F.contains(F.lower("p_type"), F.lit("steel"))).select("p_partkey")
+    return graph.labelled(triples(spark, d), "name", "ER#0")
 
 
 @query("WITH RECURSIVE " + LINKS + """, deep AS (SELECT DISTINCT s AS node, 0 AS level FROM t WHERE p = '""" + RDF_TYPE + """' UNION ALL SELECT l.child, r.level + 1 FROM links l JOIN deep r ON l.parent = r.node)
@@ -231,12 +231,28 @@ def topological_levels(spark, d):
     return graph.levels(nodes, links(spark, d))
 
 
-@query("WITH " + LINKS + " SELECT 100.0::DOUBLE AS rate")
+@query(with_(LINKS, "SELECT round(avg(CASE WHEN child > parent THEN 1.0 ELSE 0 END) * 100, 2)::DOUBLE AS rate FROM links"))
+def order_rate(spark, d):
+    """Of the order by name, which puts some parents last."""
+    some = links(spark, d)
+    nodes = some.select(F.col("child").alias("node")).union(some.select("parent")).distinct()
+    return schemas.order_rate(nodes.withColumn("position", F.col("node")), some)
+
+
+@query("WITH RECURSIVE " + LINKS + """, deep AS (SELECT DISTINCT s AS node, 0 AS level FROM t WHERE p = '""" + RDF_TYPE + """' UNION ALL SELECT l.child, r.level + 1 FROM links l JOIN deep r ON l.parent = r.node),
+ o AS (SELECT node, max(level) AS level FROM deep GROUP BY node) SELECT round(avg(CASE WHEN p.level < c.level THEN 1.0 ELSE 0 END) * 100, 2)::DOUBLE AS rate, count(*) AS n_links FROM links JOIN o c ON c.node = child JOIN o p ON p.node = parent""")
 def topological_rate(spark, d):
     some = links(spark, d)
     nodes = some.select(F.col("child").alias("node")).union(some.select("parent")).distinct()
     order = graph.levels(nodes, some).withColumn("position", F.struct("level", "node"))
-    return schemas.order_rate(order, some)
+    return schemas.order_rate(order, some, count="n_links")
+
+
+@query("WITH RECURSIVE " + LINKS + """, deep AS (SELECT DISTINCT s AS node, 0 AS level FROM t WHERE p = '""" + RDF_TYPE + """' UNION ALL SELECT l.child, r.level + 1 FROM links l JOIN deep r ON l.parent = r.node),
+ o AS (SELECT node, max(level) AS level FROM deep GROUP BY node) SELECT node, level, row_number() OVER (PARTITION BY level ORDER BY node) AS position FROM o""")
+def class_order(spark, d):
+    nodes = graph.subjects(triples(spark, d)).withColumnRenamed("s", "node")
+    return schemas.class_order(links(spark, d), nodes)
 
 
 @query(with_(TRIPLES, f"""SELECT 'triples' AS kind, '' AS name, count(*) AS n FROM t UNION ALL SELECT 'property', p, count(*) FROM t GROUP BY p UNION ALL SELECT 'type', o, count(*) FROM t WHERE p = '{RDF_TYPE}' GROUP BY o"""))
@@ -250,15 +266,14 @@ def graph_union_dedup(spark, d):
     return graph.union(t, t.where("p <> 'in'")).select("s", "p", "o")
 
 
-@query(with_(TRIPLES, "SELECT s, p, o, k AS o_kind FROM t WHERE s LIKE 'nation/%'"))
+@query(with_(TRIPLES, "SELECT s, p, o, k AS o_kind FROM t"))
 def resources_to_triples(spark, d):
-    return triples(spark, d).where("s LIKE 'nation/%'").select("s", "p", "o", "o_kind")
+    return triples(spark, d).select("s", "p", "o", "o_kind")
 
 
-@query(f"""SELECT '<nation/' || n_nationkey || '> <{RDF_TYPE}> <Nation> .' AS value FROM nation UNION ALL SELECT '<nation/' || n_nationkey || '> <name> "' || n_name || '" .' FROM nation
- UNION ALL SELECT '<nation/' || n_nationkey || '> <in> <region/' || n_regionkey || '> .' FROM nation""")
+@query(with_(TRIPLES, """SELECT '<' || s || '> <' || p || '> ' || CASE k WHEN 'iri' THEN '<' || o || '>' ELSE '"' || o || '"' END || ' .' AS value FROM t"""))
 def ntriples_serialize(spark, d):
-    return rdf.ntriples(triples(spark, d).where("s LIKE 'nation/%'"))
+    return rdf.ntriples(triples(spark, d))
 
 
 @query(with_(TRIPLES, "SELECT s, p, o, k AS o_kind FROM t"))
@@ -266,18 +281,57 @@ def ntriples_round_trip(spark, d):
     return rdf.parse_ntriples(rdf.ntriples(triples(spark, d))).select("s", "p", "o", "o_kind")
 
 
-@query(with_(TRIPLES, "SELECT s, p, o, k AS o_kind FROM t WHERE s NOT LIKE 'customer/%'"))
+@query(with_(TRIPLES, "SELECT s, p, o, k AS o_kind FROM t"))
 def jsonld_round_trip(spark, d):
-    lines = rdf.jsonld(triples(spark, d).where("s NOT LIKE 'customer/%'")).select(F.concat(F.lit("["), "value", F.lit("]")).alias("value"))
+    lines = rdf.jsonld(triples(spark, d)).select(F.concat(F.lit("["), "value", F.lit("]")).alias("value"))
     return rdf.parse_jsonld(lines).select("s", "p", "o", "o_kind")
 
 
-@query(with_(TRIPLES, "SELECT 'x:' || s AS s, CASE p WHEN 'in' THEN 'x:in' WHEN 'name' THEN 'x:name' ELSE p END AS p, CASE k WHEN 'iri' THEN 'x:' || o ELSE o END AS o FROM t WHERE s NOT LIKE 'customer/%'"))
+@query(with_(TRIPLES, "SELECT 'x:' || s AS s, CASE p WHEN 'in' THEN 'x:in' WHEN 'name' THEN 'x:name' WHEN 'segment' THEN 'x:segment' ELSE p END AS p, CASE k WHEN 'iri' THEN 'x:' || o ELSE o END AS o FROM t"))
 def turtle_round_trip(spark, d):
+    return rdf.parse_turtle(rdf.turtle(full_triples(spark, d))).select("s", "p", "o")
+
+
+@query(with_(TRIPLES, "SELECT 'x:' || s AS s, CASE p WHEN 'in' THEN 'x:in' WHEN 'name' THEN 'x:name' WHEN 'segment' THEN 'x:segment' ELSE p END AS p, CASE k WHEN 'iri' THEN 'x:' || o ELSE o END AS o, k AS o_kind FROM t"))
+def rdf_xml_round_trip(spark, d):
+    return rdf.parse_rdf_xml(rdf.rdf_xml(full_triples(spark, d))).select("s", "p", "o", "o_kind")
+
+
+@query(with_(TRIPLES, "SELECT 'http://x.org/a/' || s AS s, 'http://x.org/a/' || o AS o FROM t WHERE p = 'in'"))
+def turtle_base(spark, d):
+    """References in the light of a base whose last part is a file."""
+    texts = links(spark, d).select(F.concat(F.lit("@base <http://x.org/a/b> . <"), "child", F.lit("> <p> <"), "parent", F.lit("> .")).alias("value"))
+    return rdf.parse_turtle(texts).select("s", "o")
+
+
+@query("SELECT 'http://x.org/' || n_nationkey AS s, 'http://v.org/' || CASE k WHEN 1 THEN 'name' ELSE 'in' END AS p, CASE k WHEN 1 THEN n_name ELSE 'http://r.org/' || n_regionkey END AS o, CASE k WHEN 1 THEN 'literal' ELSE 'iri' END AS o_kind FROM nation, (SELECT unnest([1, 2]) AS k)")
+def jsonld_context(spark, d):
+    """Compact documents: prefixes, a typed term, a base."""
+    context = '{"@base": "http://x.org/", "v": "http://v.org/", "r": "http://r.org/", "name": "v:name", "lies": {"@id": "v:in", "@type": "@id"}}'
+    nodes = table(spark, d, "nation").select(F.concat(F.lit('{"@context": ' + context + ', "@id": "'), F.col("n_nationkey").cast("string"), F.lit('", "name": "'), "n_name", F.lit('", "lies": "r:'), F.col("n_regionkey").cast("string"), F.lit('"}')).alias("value"))
+    return rdf.parse_jsonld(nodes).select("s", "p", "o", "o_kind")
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def ntriples_escapes(spark, d):
+    """Whole texts as literals, each line with a comment at its end, and back."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("s"), F.lit("text").alias("p"), F.col("text").alias("o"), F.lit("literal").alias("o_kind"), *[F.lit(None).cast("string").alias(c) for c in ("o_datatype", "o_lang")])
+    lines = rdf.ntriples(rows).select(F.concat("value", F.lit(" # a note")).alias("value"))
+    return rdf.parse_ntriples(lines).select(F.col("s").cast("long").alias("doc_id"), F.col("o").alias("text"))
+
+
+@query("SELECT '<' || url || '> <p> ' || page_id AS value, 'not a triple' AS reason FROM pages")
+def ntriples_rejects(spark, d):
+    pages = table(spark, d, "pages")
+    bad = pages.select(F.concat(F.lit("<"), "url", F.lit("> <p> "), F.col("page_id").cast("string")).alias("value"))
+    return rdf.ntriples_rejects(bad.unionByName(rdf.ntriples(triples(spark, d))).unionByName(spark.createDataFrame([("# note",), ("",)], "value string")))
+
+
+def full_triples(spark, d):
+    """The triples with absolute IRIs."""
     full = lambda c: F.concat(F.lit("x:"), c)
-    t = triples(spark, d).where("s NOT LIKE 'customer/%'")
-    t = t.withColumn("s", full("s")).withColumn("p", F.when(F.col("p") == RDF_TYPE, F.col("p")).otherwise(full("p"))).withColumn("o", F.when(F.col("o_kind") == "iri", full("o")).otherwise(F.col("o")))
-    return rdf.parse_turtle(rdf.turtle(t)).select("s", "p", "o")
+    t = triples(spark, d)
+    return t.withColumn("s", full("s")).withColumn("p", F.when(F.col("p") == RDF_TYPE, F.col("p")).otherwise(full("p"))).withColumn("o", F.when(F.col("o_kind") == "iri", full("o")).otherwise(F.col("o")))
 
 
 # a query language for graphs
@@ -293,10 +347,9 @@ def sparql_filter(spark, d):
     return select(triples(spark, d), 'SELECT DISTINCT ?x WHERE { ?x a ?type . FILTER regex(str(?x), "^SUPP", "i") FILTER(?x != <supplier/1>) }')
 
 
-@query(with_(TRIPLES, f"SELECT a.s AS x, b.o AS place FROM t a LEFT JOIN t b ON a.s = b.s AND b.p = 'in' WHERE a.p = '{RDF_TYPE}' AND a.o IN ('Nation', 'Region') AND a.s LIKE '%n/%'"))
+@query(with_(TRIPLES, f"SELECT a.s AS x, b.o AS place FROM t a LEFT JOIN t b ON a.s = b.s AND b.p = 'in' WHERE a.p = '{RDF_TYPE}' "))
 def sparql_optional(spark, d):
-    t = triples(spark, d).where("s LIKE '%n/%'").where("s LIKE 'nation/%' OR s LIKE 'region/%'")
-    return select(t, "SELECT ?x ?place WHERE { ?x a ?t . OPTIONAL { ?x <in> ?place } }")
+    return select(triples(spark, d), "SELECT ?x ?place WHERE { ?x a ?t . OPTIONAL { ?x <in> ?place } }")
 
 
 @query(with_(TRIPLES, f"SELECT s AS x FROM t WHERE p = '{RDF_TYPE}' AND s NOT IN (SELECT s FROM t WHERE p = 'in')"))
@@ -419,6 +472,12 @@ def uri_validation(spark, d):
     return table(spark, d, "pages").select("page_id", terms.valid_uri(F.col("url")).alias("valid"))
 
 
+@query("SELECT doc_id, regexp_full_match('urn:x:' || left(text, 12), 'urn:x:[A-Za-z0-9()+,\\-.:=@;$_!*''%/?#]+') AS valid FROM documents WHERE text IS NOT NULL")
+def urn_validation(spark, d):
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", terms.valid_uri(F.concat(F.lit("urn:x:"), F.substring("text", 1, 12))).alias("valid"))
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def iso_dates(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", terms.to_iso(F.col("o_orderdate")).alias("iso"))
@@ -427,7 +486,7 @@ def iso_dates(spark, d):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_property(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, d, "events").select("event_id", terms.json_field(F.col("props"), "k").alias("k"))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS as_long FROM events")
@@ -532,8 +591,77 @@ def deserialize_rejects(spark, d):
     return objects.rejects(triples(spark, d), Registry([c for c in REGISTRY.by_iri.values() if c.iri != "Customer"]))
 
 
-@query("SELECT 'nation/' || n_nationkey AS s, n_name AS name, 'region/' || n_regionkey AS region FROM nation")
+@query("SELECT 'customer/' || c_custkey AS s, c_name AS name, 'nation/' || c_nationkey AS nation FROM customer")
 def roundtrip(spark, d):
-    lines = rdf.ntriples(triples(spark, d).where("s LIKE 'nation/%'"))
-    rows = objects.objects(rdf.parse_ntriples(lines), Registry([Class("Nation", (Field("name", "name"), Field("region", "in")))]), "Nation")
+    lines = rdf.ntriples(triples(spark, d))
+    rows = objects.objects(rdf.parse_ntriples(lines), Registry([Class("Customer", (Field("name", "name"), Field("nation", "in")))]), "Customer")
     return rows
+
+
+@query("""WITH a AS (SELECT 'attr/' || c_custkey AS uri, 'nation/' || c_nationkey AS owner FROM customer), b AS (SELECT 'regional/' || r_regionkey AS uri, r_regionkey FROM region)
+ SELECT uri, owner, false AS inherited, NULL AS inherited_from FROM a UNION ALL SELECT uri, 'region/' || r_regionkey, false, NULL FROM b
+ UNION ALL SELECT uri, 'nation/' || n_nationkey, true, 'region/' || r_regionkey FROM b JOIN nation ON n_regionkey = r_regionkey""")
+def inherited_attributes(spark, d):
+    u, rdfs = terms.NAMESPACES["ucmis"], terms.NAMESPACES["rdfs"]
+    regional = unpivoted(table(spark, d, "region"), iri("regional", "r_regionkey"), u + "Attribute", {rdfs + "label": F.col("r_name")}, {rdfs + "domain": iri("region", "r_regionkey")})
+    return ontology.attributes(model(spark, d).unionByName(regional), with_inherited=True).select("uri", "owner", "inherited", "inherited_from")
+
+
+@query("""SELECT 'V' || l_partkey AS var_id, l_linenumber::VARCHAR AS value, l_returnflag AS type, count(*) AS n, sum(l_quantity::BIGINT)::DOUBLE AS total FROM lineitem GROUP BY 1, 2, 3""")
+def category_statistics(spark, d):
+    items = table(spark, d, "lineitem")
+    stats = items.select(
+        F.lit("D").alias("doc_id"), F.concat(F.lit("V"), F.col("l_partkey").cast("string")).alias("var_id"), F.col("l_linenumber").cast("string").alias("value"), F.col("l_returnflag").alias("label"),
+        F.array(F.struct(F.col("l_returnflag").alias("type"), F.col("l_quantity").cast("string").alias("value"))).alias("statistics"),
+    )
+    return codebook.category_statistics(stats).groupBy("var_id", "value", "type").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
+
+
+@query("SELECT 'V' || l_partkey AS var_id, max(l_quantity) FILTER (l_returnflag = 'A') AS \"A\", max(l_quantity) FILTER (l_returnflag = 'N') AS \"N\", max(l_quantity) FILTER (l_returnflag = 'R') AS \"R\" FROM lineitem GROUP BY 1")
+def summary_statistics(spark, d):
+    items = table(spark, d, "lineitem")
+    stats = items.select(F.lit("D").alias("doc_id"), F.concat(F.lit("V"), F.col("l_partkey").cast("string")).alias("var_id"), F.array(F.struct(F.col("l_returnflag").alias("type"), F.col("l_quantity").cast("string").alias("value"))).alias("statistics"))
+    return codebook.summary_statistics(stats, ["A", "N", "R"]).drop("doc_id")
+
+
+@query(with_(VARIABLES, "SELECT var_id, name FROM v WHERE contains(lower(name), 'a')"))
+def variables_by_name_part(spark, d):
+    return codebook.search(book(spark, d).variables, name_part="A").select("var_id", "name")
+
+
+@query(with_(TRIPLES, f"SELECT s, CASE WHEN o IN ('Supplier', 'Customer') THEN o END AS type FROM t WHERE p = '{RDF_TYPE}'"))
+def dispatch_by_base(spark, d):
+    """The class of each subject where it is one of, or lies below, a base class; else none."""
+    own = Registry([Class("Supplier", (), parent="Party"), Class("Customer", (), parent="Party"), Class("Nation", ()), Class("Party", ())])
+    return objects.typed_below(triples(spark, d), own, "Party")
+
+
+@query(with_(TRIPLES, "SELECT s AS x, o AS name FROM t WHERE p = 'name' ORDER BY o DESC, s LIMIT 25"))
+def sparql_limit(spark, d):
+    return select(triples(spark, d), "SELECT ?x ?name WHERE { ?x <name> ?name } ORDER BY DESC(?name) ?x LIMIT 25")
+
+
+@query("""SELECT 'region/' || r_regionkey AS class, 'Thing' AS parent, count(n_nationkey) AS n_associations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2
+ UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey, 0 FROM nation""")
+def class_parents(spark, d):
+    """Class schemas with their parents, and the associations that start at them."""
+    u, rdfs = terms.NAMESPACES["ucmis"], terms.NAMESPACES["rdfs"]
+    more = unpivoted(table(spark, d, "nation"), iri("link", "n_nationkey"), u + "Association", {rdfs + "label": F.col("n_name")}, {rdfs + "domain": iri("region", "n_regionkey"), rdfs + "range": iri("nation", "n_nationkey")})
+    t = model(spark, d).where(F.col("s").startswith("nation/") | F.col("s").startswith("region/")).unionByName(more)
+    return schemas.class_sources(t, "Thing").select("class", "parent", F.col("n_associations"))
+
+
+@query("""SELECT 'F' || s_suppkey AS id, 'urn:ddi-cdi:p_DataSet_F' || s_suppkey AS uri, CASE WHEN s_acctbal < 0 THEN 'no uri' WHEN count(*) OVER (PARTITION BY s_nationkey) > 0 AND s_suppkey <> max(s_suppkey) FILTER (s_acctbal >= 0) OVER (PARTITION BY s_nationkey) THEN 'replaced' END AS problem FROM supplier""")
+def managed_resources(spark, d):
+    """Typed insertion: rows without a URI are told, and of rows with one URI the last stays."""
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("F"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("DataSet").alias("type"), F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("uri"))
+    return convert.inserted(rows, ["DataSet"]).select("id", F.concat(F.lit("urn:ddi-cdi:p_DataSet_"), "id").alias("uri"), "problem")
+
+
+@query("""WITH n AS (SELECT 'urn:x:' || c_custkey AS uri, c_name AS name FROM customer) SELECT uri AS s, 'name' AS p, uri || '#name' AS o FROM n UNION ALL SELECT uri || '#name', 'type', 'ObjectName' FROM n UNION ALL SELECT uri || '#name', 'name', name FROM n
+ UNION ALL SELECT uri, 'displayLabel', uri || '#displayLabel' FROM n UNION ALL SELECT uri || '#displayLabel', 'type', 'LabelForDisplay' FROM n UNION ALL SELECT uri || '#displayLabel', 'languageSpecificString', uri || '#displayLabel-text' FROM n
+ UNION ALL SELECT uri || '#displayLabel-text', 'type', 'LanguageString' FROM n UNION ALL SELECT uri || '#displayLabel-text', 'content', name FROM n""")
+def structured_names(spark, d):
+    rows = table(spark, d, "customer").select(F.concat(F.lit("urn:x:"), F.col("c_custkey").cast("string")).alias("uri"), F.col("c_name").alias("name"), F.col("c_name").alias("label"))
+    t = convert.name_nodes(rows)
+    return t.select("s", F.when(F.col("p") == RDF_TYPE, "type").otherwise(F.regexp_replace("p", ".*/", "")).alias("p"), F.regexp_replace("o", f"^{convert.CDI}", "").alias("o"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,22 +22,22 @@ def statistics_json(triples: DataFrame) -> DataFrame:
 
 
 def tree(codebooks: DataFrame, max_level: int | None = None) -> DataFrame:
-    """doc_id, path, level, value: a row for each element and attribute that is there, by the schema. Only down to max_level if given."""
-    schema = codebooks.schema
-    out = None
-    doc = F.col("_ID").alias("doc_id")
-    todo = [(codebooks.select(doc, F.col(f.name).alias("x"), F.lit(f"/{f.name}").alias("path")), f.dataType, 1) for f in schema.fields]
-    while todo:
-        rows, kind, level = todo.pop()
+    """doc_id, path, level, value: a row for each element's text and attribute that is there, by the schema. Only down to max_level if given; of level 0 there is none.
+
+    The files are read once: one expression, made from the schema, gathers a codebook's rows in an array."""
+    row = "array<struct<path: string, level: int, value: string>>"
+    none = F.array().cast(row)
+
+    def below(x: Column, kind: T.DataType, path: Column, level: int) -> Column:
         if max_level is not None and level > max_level:
-            continue
-        rows = rows.where("x IS NOT NULL")
+            return none
         if isinstance(kind, T.ArrayType):
-            rows = rows.select("doc_id", "path", F.posexplode("x").alias("at", "y")).select("doc_id", F.format_string("%s[%d]", "path", "at").alias("path"), F.col("y").alias("x"))
-            todo.append((rows, kind.elementType, level))
-        elif isinstance(kind, T.StructType):
-            todo += [(rows.select("doc_id", F.col("x")[f.name].alias("x"), F.concat("path", F.lit(f"/{f.name}")).alias("path")), f.dataType, level + 1) for f in kind.fields]
-        else:
-            leaf = rows.select("doc_id", "path", F.lit(level).alias("level"), F.col("x").cast("string").alias("value"))
-            out = leaf if out is None else out.unionByName(leaf)
-    return out
+            each = F.transform(x, lambda y, i: below(y, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), level))
+            return F.coalesce(F.flatten(each), none)
+        if isinstance(kind, T.StructType):
+            deeper = [below(x[f.name], f.dataType, F.concat(path, F.lit(f"/{f.name}")), level + 1) for f in kind.fields if max_level is None or level < max_level]
+            return F.when(x.isNotNull(), F.concat(*deeper)).otherwise(none) if deeper else none
+        return F.when(x.isNotNull(), F.array(F.struct(path.alias("path"), F.lit(level).alias("level"), x.cast("string").alias("value")))).otherwise(none)
+
+    parts = [below(F.col(f.name), f.dataType, F.lit(f"/{f.name}"), 1) for f in codebooks.schema.fields]
+    return codebooks.select(F.col("_ID").alias("doc_id"), F.explode(F.concat(*parts)).alias("x")).select("doc_id", "x.path", "x.level", "x.value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -12,12 +13,14 @@ _LABEL = "array<struct<_VALUE: string, `_xml-lang`: string, _lang: string>>"
 _STAT = "array<struct<_VALUE: string, _type: string, _otherType: string>>"
 _RANGE = "array<struct<range: array<struct<_min: string, _max: string, _minExclusive: string, _maxExclusive: string, _UNITS: string>>, item: array<struct<_VALUE: string, _UNITS: string>>, key: array<string>, notes: array<string>>>"
 _CATEGORY = f"array<struct<_ID: string, _missing: string, _missType: string, _country: string, _sdatrefs: string, catValu: string, labl: {_LABEL}, txt: array<string>, catStat: {_STAT}, mrow: string>>"
+_CATEGORY_GROUP = f"array<struct<_ID: string, _missing: string, _missType: string, _catgry: string, _catGrp: string, _levelno: string, _levelnm: string, _compl: string, _excls: string, labl: {_LABEL}, catStat: {_STAT}, txt: array<string>>>"
+_DERIVATION = "array<struct<_ID: string, _var: string, drvdesc: array<string>, drvcmd: array<struct<_VALUE: string, _syntax: string>>>>"
 _QUESTION = "array<struct<_ID: string, _responseDomainType: string, preQTxt: array<string>, qstnLit: array<string>, postQTxt: array<string>, forward: array<string>, backward: array<string>, ivuInstr: array<string>>>"
 _VARIABLE = (
     "array<struct<_ID: string, _name: string, _files: string, _wgt: string, `_wgt-var`: string, _dcml: string, _intrvl: string, _rectype: string, _sdatrefs: string, _temporal: string, _geog: string, "
     f"location: array<struct<_StartPos: string, _EndPos: string, _width: string, _RecSegNo: string, _fileid: string>>, labl: {_LABEL}, imputation: array<string>, security: array<string>, embargo: array<string>, "
     f"respUnit: array<string>, anlysUnit: array<string>, qstn: {_QUESTION}, valrng: {_RANGE}, invalrng: {_RANGE}, undocCod: array<string>, universe: array<string>, TotlResp: string, sumStat: {_STAT}, txt: array<string>, "
-    f"stdCatgry: array<string>, catgry: {_CATEGORY}, codInstr: array<string>, concept: array<string>, varFormat: struct<_type: string, _formatname: string, _schema: string, _category: string, _VALUE: string>, notes: array<string>>>"
+    f"stdCatgry: array<string>, catgryGrp: {_CATEGORY_GROUP}, catgry: {_CATEGORY}, derivation: {_DERIVATION}, codInstr: array<string>, concept: array<string>, varFormat: struct<_type: string, _formatname: string, _schema: string, _category: string, _VALUE: string>, notes: array<string>>>"
 )
 _GROUP = f"array<struct<_ID: string, _type: string, _var: string, _varGrp: string, _name: string, labl: {_LABEL}, txt: array<string>, concept: array<string>, defntn: array<string>, universe: array<string>, notes: array<string>>>"
 _CUBE = f"array<struct<_ID: string, _name: string, _dmnsQnty: string, _cellQnty: string, labl: {_LABEL}, txt: array<string>, universe: array<string>, dmns: array<struct<_rank: string, _varRef: string>>, measure: array<struct<_varRef: string, _aggrMeth: string, _measUnit: string>>>>"
@@ -33,6 +36,9 @@ CODEBOOK = (
     f"dataDscr array<struct<_ID: string, varGrp: {_GROUP}, var: {_VARIABLE}, nCubeGrp: {_GROUP}, nCube: {_CUBE}, notes: array<string>>>, "
     "otherMat array<struct<_ID: string, _type: string, _level: string, _URI: string, labl: array<string>, txt: array<string>>>"
 )
+#: Elements by name that the schema has, whatever stands around them.
+KNOWN = sorted(set(re.findall(r"([A-Za-z]\w*): ?(?:array|struct|string)|^(\w+) (?:array|string)|, (\w+) (?:array|string)", CODEBOOK)) | {("codeBook", "", "")})
+KNOWN_NAMES = sorted({x for found in KNOWN for x in found if x})
 OPTIONS = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "nullValue": "\u0000"}
 
 
@@ -47,6 +53,16 @@ def parse_codebooks(texts: DataFrame, column: str) -> DataFrame:
     return texts.select(parsed.alias("c")).select("c.*")
 
 
+def left_out(texts: DataFrame, column: str) -> DataFrame:
+    """element, n: elements in a column of XML texts that CODEBOOK doesn't have, so that reading leaves them out, and how often they are there.
+
+    Comments and CDATA sections are cut away before; all names are found by one expression."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(column), r"(?s)<!--.*?-->", ""), r"(?s)<!\[CDATA\[.*?\]\]>", "")
+    names = F.regexp_extract_all(plain, F.lit(r"<(?:[A-Za-z_][\w.\-]*+:)?([A-Za-z_][\w.\-]*+)"), F.lit(1))
+    rows = texts.select(F.explode(names).alias("element")).where(~F.col("element").isin(KNOWN_NAMES))
+    return rows.groupBy("element").agg(F.count("*").alias("n"))
+
+
 _ELEMENT = "struct<`_xml:id`: string, _id: string, _name: string, _minOccurs: string, _maxOccurs: string"
 #: Elements inside a complex type, two levels deep: associations hold an element of their valid types.
 _NESTED = f"array<{_ELEMENT}, simpleType: struct<restriction: struct<enumeration: array<struct<_value: string>>>>>>"

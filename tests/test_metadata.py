@@ -128,7 +128,7 @@ def test_closure_and_cycles(spark):
     assert rows(graph.descendants(links, "a"), "node") == [("b",), ("c",), ("d",)]
     nodes = spark.createDataFrame([(x,) for x in "abcdxy"], "node string")
     level = {r.node: r.level for r in graph.levels(nodes, links).collect()}
-    assert level["y"] == 0 and level["x"] == 1 and level["a"] is None and level["d"] == 0
+    assert level["y"] == 0 and level["x"] == 1 and level["a"] is None and level["d"] is None  # d waits for a, as in a topological sort that peels off what has no parent left
 
 
 SCHEMA = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:complexType name="CarXsdType" xml:id="CarXsdType"><xs:sequence>
@@ -222,11 +222,99 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/batch=0/variables").count() == 3
 
 
+def test_ntriples_lines(spark):
+    lines = ['<a:b> <c:d> "caf\\u00e9 \\U0001F600 \\\\n \\n \\b\\f\\" " . # note', '<a:b> <c:\\u0064> <e:f>.', "", " # only a note", '_:x <c:d> "v"@en-GB .', '<a:b> <c:d> "v"^^<t:u> .', '<a:b> <c:d> "\\q" .', "<a:b> <c:d> .", '<a:b> "c" <d:e> .', '<a:b> <c:d> "open .', '<a:b> <c:d> "' + "\\n" * 20000 + '" .']
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    found = {tuple(r) for r in rdf.parse_ntriples(df).collect()}
+    assert found == {
+        ("a:b", "c:d", 'caf\u00e9 \U0001F600 \\n \n \b\f" ', "literal", None, None), ("a:b", "c:d", "e:f", "iri", None, None), ("_:x", "c:d", "v", "literal", None, "en-GB"), ("a:b", "c:d", "v", "literal", "t:u", None), ("a:b", "c:d", "\n" * 20000, "literal", None, None),
+    }
+    assert [r.value for r in rdf.ntriples_rejects(df).collect()] == lines[6:10]
+    texts = spark.createDataFrame([('s"x', "p", 'o\\ "\n\ue000', "literal", None, None)], graph.SCHEMA)
+    assert [tuple(r) for r in rdf.parse_ntriples(rdf.ntriples(texts.withColumn("s", F.lit("s")))).collect()] == [("s", "p", 'o\\ "\n\ue000', "literal", None, None)]
+    assert {tuple(r) for r in rdf.parse_jsonld(rdf.jsonld(texts).select(F.concat(F.lit("["), "value", F.lit("]")).alias("value"))).collect()} == {tuple(r) for r in texts.collect()}
+
+
+def test_references_and_bases(spark):
+    text = "@base <http://x/a/b#t> . <c> <p> </d> , <#e> , <../f> , <> . @base <g/> . <h> <http://y/z> <i> ."
+    got = {(r.s, r.p, r.o) for r in rdf.parse_turtle(spark.createDataFrame([(text,)], "value string")).collect()}
+    c, p = "http://x/a/c", "http://x/a/p"
+    assert got == {(c, p, "http://x/d"), (c, p, "http://x/a/b#e"), (c, p, "http://x/f"), (c, p, "http://x/a/b"), ("http://x/a/g/h", "http://y/z", "http://x/a/g/i")}
+
+
+def test_json_ld_and_rdf_xml(spark):
+    doc = '{"@context": [{"@vocab": "http://v/", "@base": "http://b/"}, {"x": "http://x/", "knows": {"@id": "x:knows", "@type": "@id"}, "on": {"@id": "x:on", "@type": "x:date"}, "items": {"@container": "@list"}}], "@graph": [{"@id": "ann", "@type": "Person", "knows": ["bob", {"name": "C"}], "on": "2020", "age": 3, "ok": true, "items": [1, "y"], "label": {"@value": "Hi", "@language": "en"}}]}'
+    t = rdf.parse_jsonld(spark.createDataFrame([(doc,), ("not json",)], "value string")).collect()
+    own = {(r.s, r.p, r.o, r.o_datatype, r.o_lang) for r in t if r.s == "http://b/ann"}
+    xsd = terms.NAMESPACES["xsd"]
+    assert {("http://b/ann", "http://x/knows", "http://b/bob", None, None), ("http://b/ann", "http://x/on", "2020", "http://x/date", None), ("http://b/ann", "http://v/age", "3", xsd + "integer", None), ("http://b/ann", "http://v/label", "Hi", None, "en"), ("http://b/ann", terms.RDF_TYPE, "http://v/Person", None, None)} <= own
+    assert len([r for r in t if r.p.endswith("#first")]) == 2 and any(r.o == "C" for r in t)
+    xml_text = '<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:v="http://v/" xml:base="http://b/d"><v:Person r:about="ann" v:nick="A"><v:knows r:resource="#bob"/><v:name xml:lang="de">An&amp;na</v:name><v:age r:datatype="http://t/int">4</v:age><v:has><v:Dog/></v:has><v:all r:parseType="Collection"><v:One r:about="1"/></v:all></v:Person></r:RDF>'
+    own = {(r.s, r.p, r.o, r.o_datatype, r.o_lang) for r in rdf.parse_rdf_xml(spark.createDataFrame([(xml_text,)], "value string")).collect()}
+    assert {("http://b/ann", "http://v/knows", "http://b/d#bob", None, None), ("http://b/ann", "http://v/name", "An&na", None, "de"), ("http://b/ann", "http://v/age", "4", "http://t/int", None), ("http://b/ann", "http://v/nick", "A", None, None), ("http://b/1", terms.RDF_TYPE, "http://v/One", None, None)} <= own
+    assert sum(o == "http://v/Dog" for _, _, o, _, _ in own) == 1
+
+
+def test_deep_diamonds_end_soon(spark):
+    links = [(f"a{i}{x}", f"a{i + 1}{y}") for i in range(20) for x in "lr" for y in "lr"]
+    df = spark.createDataFrame(links, "child string, parent string")
+    assert graph.ancestors(df, "a0l").count() == 40
+    assert graph.closure(df.where("child < 'a2'")).count() > 0
+
+
+def test_names_and_insertion(spark):
+    t = convert.name_nodes(spark.createDataFrame([("u:1", "n", None), ("u:2", None, "l")], "uri string, name string, label string"))
+    assert t.count() == 3 + 5
+    rows_ = spark.createDataFrame([(1, "A", "u"), (2, "A", "u"), (3, "B", "v"), (4, "A", None)], "seq int, type string, uri string")
+    assert {r.seq: r.problem for r in convert.inserted(rows_, ["A"]).collect()} == {1: "replaced", 2: None, 3: "unknown type", 4: "no uri"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from metaquarry.__main__ import main
+
+    (tmp_path / "b.xml").write_text(BOOK.replace("<c:dataDscr>", "<c:dataDscr><c:odd/><!-- <c:gone/> -->"))
+    main(["dictionary", "--stats", "--categories", str(tmp_path / "b.xml")])
+    out = capsys.readouterr().out
+    assert "answer" in out and "Age in years" in out
+    main(["dump", "--max-level", "0", str(tmp_path / "b.xml")])
+    assert capsys.readouterr().out.strip() == "doc_id\tpath\tlevel\tvalue"
+    main(["audit", str(tmp_path / "b.xml")])
+    assert "odd\t1" in capsys.readouterr().out
+    main(["convert", "--to", str(tmp_path / "out"), str(tmp_path / "b.xml")])
+    assert rdf.read_ntriples(spark, str(tmp_path / "out")).count() > 50
+    at = tmp_path / "spec/build/encoding/ontology"
+    at.mkdir(parents=True)
+    (at / "o.ttl").write_text(ONTOLOGY)
+    main(["schema", "--to", str(tmp_path / "schema"), str(tmp_path / "spec")])
+    classes = {r["class"]: (r.parent, r.ddl, r.n_associations) for r in spark.read.json(str(tmp_path / "schema/classes")).collect()}
+    assert classes["http://o.org/Car"] == ("http://o.org/Vehicle", "`for_` string, `has` string", 1)
+    with pytest.raises(FileNotFoundError):
+        Specification.load(spark, str(tmp_path / "nowhere"))
+    with pytest.raises(RuntimeError):
+        Specification(None).triples
+
+
+def test_sinks_and_schemas_write(spark, tables, tmp_path):
+    found = convert.resources(tables, "run")
+    sinks.write_resources_json(found.nodes, str(tmp_path / "nodes"))
+    assert spark.read.json(str(tmp_path / "nodes")).count() == found.nodes.count()
+    assert rows(convert.variables_in(tables, "F1"), "var_id") == [("V1",), ("V3",)]
+    source = spark.createDataFrame([("class A(B):",), ("class C(A):",), ("    x = 1",)], "value string")
+    assert rows(schemas.forward_references_fixed(source, ["A"]), "value", "n_fixed") == [("    x = 1", 0), ("class A(object):", 1), ("class C(A):", 0)]
+
+
+@pytest.mark.parametrize("name", ["dictionary_name_regex", "search_variables", "without_property", "label_contains", "sparql_limit"])
+def test_queries_return_rows(spark, name):
+    from metaquarry.plans import catalog
+
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_topological_rate_takes_all_links(spark, monkeypatch):
     from metaquarry.operators import schemas
     from metaquarry.plans import bindings, catalog
 
     d, seen, rate = "/root/testdata/sf0.001", [], schemas.order_rate
-    monkeypatch.setattr(schemas, "order_rate", lambda order, links: (seen.append(links.count()), rate(order, links))[1])
+    monkeypatch.setattr(schemas, "order_rate", lambda order, links, count=None: (seen.append(links.count()), rate(order, links, count))[1])
     assert catalog.QUERIES["topological_rate"](spark, d).first()["rate"] == 100.0
     assert seen == [bindings.links(spark, d).count()] and seen[0] > 100
