@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaquarry.llm.common import cuts, looked_up, range_of
+from metaquarry.llm.common import cuts, looked_up, range_of, renamed
 from metaquarry.llm.words import mixed, text_shingles
 
 BINS, BITS = 512, 4
@@ -87,7 +87,8 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """docs with its fingerprint as a further column, in one pass and without a shuffle."""
+    """docs with its fingerprint as a further column, in one pass and without a shuffle. Where docs has a column of that name, underscores go before it."""
+    into = renamed(docs.columns, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,7 +108,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
 
     doc_ids are cut into ranges; the first document of each range also goes to the range before it (and the very
     first to the last), so every range is worked through in order by itself, a batch at a time. Rows of equal doc_id
-    follow each other by text."""
+    follow each other by text; those without doc_id come first, and the last document's next is the least doc_id there is."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     at = cuts(docs, "doc_id", RANGE_ROWS, MAX_RANGES)
     ranges = docs.select("doc_id", range_of(F.col("doc_id"), at).alias("part"))
