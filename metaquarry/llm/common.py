@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_RUN = uuid.uuid4().hex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,19 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_dir(spark)}/metaquarry/{tag}-{uuid.uuid4().hex}"
+    top = f"{work_dir(spark)}/metaquarry/{_RUN}"
+    if _OWN.get("clean") != top:
+        _OWN["clean"] = top
+        atexit.register(_clean, spark, top)
+    return f"{top}/{tag}-{uuid.uuid4().hex}"
+
+
+def _clean(spark: SparkSession, top: str) -> None:
+    """Deletes what results still read from while the process lives, if its session is still there at the end."""
+    try:
+        drop(spark, top)
+    except Exception:  # noqa: BLE001  the session has ended before
+        pass
 
 
 def stored(df: DataFrame, tag: str, compression: str = "zstd", options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
