@@ -369,3 +369,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left_anti")
     again = Window.partitionBy("doc_id", same).orderBy(same)
     return kept.withColumn(same, F.xxhash64("text")).withColumn(turn, F.row_number().over(again)).where(F.col(turn) == 1).drop(same, turn)
+
+
+def oracle() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
+ g AS (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, chr(10))] ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], chr(10)))) END) AS g FROM w WHERE len(w) > 0),
+ h AS (SELECT DISTINCT doc_id, g FROM g),
+ s AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * same >= 75 * (a.n + b.n - same)),
+ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, m.c AS component_id FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) m ON m.x = d.doc_id
+"""

@@ -1,15 +1,22 @@
 """Exact top-k search: a Voronoi kNN join for integer inner products.
 
-Queries are grouped by the nearest of a few pivots, and large groups are cut into blocks. A block's summary has its
-pivot, its radius (the farthest query from the pivot) and a bound: the least, over its queries, of the k-th best score
-within a small sample of the data that everyone gets. A vector x can be among the best of a block's query q only if
-q.x reaches that bound, and q.x <= p.x + r |x| for pivot p and radius r, so x is replicated only to the blocks for
-which that holds. Blocks are salted, so that each task has a bounded block of queries and a bounded share of the data;
-it solves them by a matrix product, and the best of all salts are merged.
+Queries and data are grouped by the nearest of a few pivots (which are vectors of the data). A cell of data has a
+summary: how many vectors it holds, how far the farthest is from the pivot, the greatest length, and the distances and
+lengths of the k + 1 vectors nearest to the pivot. A cell's queries, in blocks, have a radius. With query q of a block
+at pivot p with radius r, and vector x of a cell at pivot c, at distance d from it,
+
+    p.c - |p| d - r |x|  <=  q.x  <=  p.c + |p| d + r |x|
+
+so the summaries alone tell a score that a block's queries reach k times at least (one of the k + 1 may be the query
+itself), and which cells can't reach it: those go to no task of the block. Of the other cells a vector is replicated
+only where p.x + r |x| reaches that score, or the least k-th best score of the block's queries within a small sample
+that everyone gets, whichever is higher. Blocks are salted, so that each task has a bounded block of queries and a
+bounded share of the data; it solves them by a matrix product, and the best of all salts are merged.
 
 Defined results: a vector that is null or has a null, NaN or infinite component takes no part; shorter vectors count
 as ended by zeros; of rows with one id the least vector takes part, so ids are unique. Scores are exact: float64 where
-every product is below 2^53, else Python integers. Ties go to the smaller id. An empty table gives no rows.
+every product is below 2^53, else Python integers; beyond a long's range they are given as its end, and ties among
+those go to the smaller id like all ties. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metaquarry.llm.common import stored
+from metaquarry.llm.common import drop, stored
 
 SCALE = 256
-#: Queries in a block, on average; pivots and blocks are at most so many, which bounds what everyone gets.
+#: Queries in a block, at most on average; pivots and blocks are at most so many, which bounds what everyone gets.
 BLOCK, MAX_PIVOTS, MAX_BLOCKS = 512, 256, 8192
+#: Vectors for which there is one pivot.
+PER_PIVOT = 400
 #: Vectors of the sample, and of one salt's share, on average.
 SAMPLE, SHARE = 2048, 20_000
 
@@ -78,57 +87,110 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
+def to_pivots(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector, and the distance to it (rounded up)."""
+    if not len(x) or not len(p):
+        return np.zeros(len(x), np.int64), np.zeros(len(x))
+    apart = np.maximum((x**2).sum(axis=1)[:, None] - 2 * (x @ p.T) + (p**2).sum(axis=1)[None], 0)
+    near = apart.argmin(axis=1)
+    return near, np.sqrt(((x - p[near]) ** 2).sum(axis=1)) * (1 + 1e-9)
+
+
+def assigned(data: DataFrame, p: np.ndarray) -> DataFrame:
+    """data (id, v) with its cell, the distance to the cell's pivot and the length of the vector."""
+    shared, dim = data.sparkSession.sparkContext.broadcast(p), p.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1).to_pylist(), dim)
+            near, far = to_pivots(x, shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(far), pa.array(np.sqrt((x**2).sum(axis=1)))], names=["id", "v", "cell", "far", "length"])
+
+    return data.mapInArrow(run, "id long, v binary, cell int, far double, length double")
+
+
+def summaries(cells: DataFrame, k: int) -> tuple[dict, list]:
+    """For each cell its radius and greatest length; and the cell, distance and length of its k + 1 vectors nearest to the pivot. Both are partly reduced before their shuffle, and bounded by the pivots."""
+    wide = {r["cell"]: (r["far"], r["length"]) for r in cells.groupBy("cell").agg(F.max("far").alias("far"), F.max("length").alias("length")).collect()}
+    order = Window.partitionBy("cell").orderBy("far", "id")
+    first = cells.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("cell", "far", "length").collect()
+    return wide, [tuple(r) for r in first]
+
+
+def reached(blocks: list[tuple], p: np.ndarray, wide: dict, first: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For blocks (pivot, part, radius, bound by the sample): the score to reach, and which cells may reach it."""
+    at, radius = np.array([b[0] for b in blocks], np.int64), np.array([b[2] for b in blocks])
+    long = np.sqrt((p**2).sum(axis=1))
+    scores = np.full((len(blocks), max(k + 1, len(first))), -np.inf)
+    dots = p @ p.T
+    for i, (cell, far, length) in enumerate(first):
+        scores[:, i] = dots[at, cell] - long[at] * far - radius * length
+    # the k + 1st best: one of those vectors may be the query itself
+    least = np.sort(scores, axis=1)[:, -(k + 1)] if len(blocks) else np.zeros(0)
+    least = least - 1e-6 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+    bound = np.maximum(least, np.array([b[3] for b in blocks], float))
+    may = np.zeros((len(blocks), len(p)), bool)
+    for cell, (far, length) in wide.items():
+        most = dots[at, cell] + long[at] * far + radius * length
+        may[:, cell] = most + 1e-6 * (1 + np.abs(most)) >= bound
+    return bound, may
+
+
 def top_k(rows: DataFrame, key: str, vector: str, is_query: Column, k: int) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best others. is_query: over the id, named id."""
     spark = rows.sparkSession
-    data, _ = stored(vectors(rows, key, vector), "vectors")
-    queries = data.where(is_query)
+    data, data_at = stored(vectors(rows, key, vector), "vectors")
     r = data.agg(F.count("*").alias("n"), F.max(F.length("v")).alias("bytes"), F.count_if(is_query).alias("queries")).first()
     n, dim, n_queries = r["n"], (r["bytes"] or 0) // 8, r["queries"]
     spread = F.xxhash64("id")
-    pivots = queries.orderBy(spread).limit(max(1, min(MAX_PIVOTS, -(-n_queries // BLOCK)))).collect()
     sample = data.orderBy(spread, "id").limit(SAMPLE).collect()
-    p = _matrix([bytes(x["v"]) for x in pivots], dim)
     s_ids, s = np.array([x["id"] for x in sample], np.int64), _matrix([bytes(x["v"]) for x in sample], dim)
+    p = np.unique(s[: max(1, min(MAX_PIVOTS, -(-n // PER_PIVOT)))], axis=0) if len(s) else np.zeros((0, dim))
     shared = spark.sparkContext.broadcast((p, s_ids, s))
     size = max(BLOCK, -(-n_queries // MAX_BLOCKS))
+    cells, cells_at = stored(assigned(data, p), "cells")
+    drop(spark, data_at)
+    wide, first = summaries(cells, k)
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, s_ids, s = shared.value
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, s_ids, s = shared.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            q = _matrix(batch.column(1).to_pylist(), dim)
-            far = np.sqrt(np.maximum(((q[:, None, :] - p[None]) ** 2).sum(axis=2), 0)) if len(q) else np.zeros((0, len(p)))
-            near = far.argmin(axis=1) if len(q) else np.zeros(0, np.int64)
-            scores = products(q, s).astype(np.float64)
+            scores = products(_matrix(batch.column(1).to_pylist(), dim), s).astype(np.float64)
             scores[ids[:, None] == s_ids[None]] = -np.inf
-            bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int32()), pa.array(far[np.arange(len(q)), near]), pa.array(bound)], names=["id", "v", "pivot", "far", "bound"])
+            bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
+            bound = bound - 1e-9 * np.abs(np.where(np.isfinite(bound), bound, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=["id", "v", "pivot", "far", "bound"])
 
-    grouped, _ = stored(queries.mapInArrow(group, "id long, v binary, pivot int, far double, bound double"), "queries")
+    queries = cells.where(is_query).select("id", "v", F.col("cell").alias("pivot"), "far")
+    grouped, _ = stored(queries.mapInArrow(bounded, "id long, v binary, pivot int, far double, bound double"), "queries")
     held = {x["pivot"]: x["n"] for x in grouped.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # MAX_PIVOTS rows at most
     cut = F.element_at(F.create_map(*[F.lit(x) for c, m in (held or {0: 0}).items() for x in (c, max(1, -(-m // size)))]), F.col("pivot"))
     grouped = grouped.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), cut).cast("int"))
     summary = grouped.groupBy("pivot", "part").agg(F.max("far").alias("far"), F.min("bound").alias("bound")).collect()  # MAX_BLOCKS + MAX_PIVOTS rows at most
-    blocks = spark.sparkContext.broadcast([(x["pivot"], x["part"], x["far"], x["bound"]) for x in summary])
+    all_blocks = [(x["pivot"], x["part"], x["far"], x["bound"]) for x in summary]
+    bound, may = reached(all_blocks, p, wide, first, k)
+    blocks = spark.sparkContext.broadcast((np.array([b[0] for b in all_blocks], np.int64), np.array([b[2] for b in all_blocks]), bound, may))
     salts = max(1, -(-n // SHARE))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, all_blocks = shared.value[0], blocks.value
-        at = np.array([b[0] for b in all_blocks], np.int64)
-        far, bound = np.array([b[2] for b in all_blocks]), np.array([b[3] for b in all_blocks])
+        p, (at, far, bound, may) = shared.value[0], blocks.value
         for batch in batches:
-            x = _matrix(batch.column(1).to_pylist(), dim)
-            length = np.sqrt((x**2).sum(axis=1))
-            upper = (x @ p.T)[:, at] + far * length[:, None] if len(at) else np.zeros((len(x), 0))
-            slack = 1e-6 * (1 + np.abs(upper))  # of floating-point sums
-            row, block = np.nonzero(upper + slack >= bound)
+            x, cell, length = _matrix(batch.column(1).to_pylist(), dim), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            row, block = [], []
+            for c in np.unique(cell):
+                some, to = np.flatnonzero(cell == c), np.flatnonzero(may[:, c])
+                upper = x[some] @ p[at[to]].T + length[some][:, None] * far[to]
+                i, j = np.nonzero(upper + 1e-6 * (1 + np.abs(upper)) >= bound[to])
+                row.append(some[i])
+                block.append(to[j])
+            row, block = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (row, block))
             own = batch.take(pa.array(row))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(block.astype(np.int32))], names=["id", "v", "block"])
 
     salt = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(salts)).cast("int")
-    copies = data.mapInArrow(replicate, "id long, v binary, block int").withColumn("salt", salt)
-    number = F.create_map(*[F.lit(x) for i, b in enumerate(blocks.value or [(0, 0, 0, 0)]) for x in (f"{b[0]}/{b[1]}", i)])
+    copies = cells.select("id", "v", "cell", "length").mapInArrow(replicate, "id long, v binary, block int").withColumn("salt", salt)
+    number = F.create_map(*[F.lit(x) for i, b in enumerate(all_blocks or [(0, 0, 0, 0)]) for x in (f"{b[0]}/{b[1]}", i)])
     asked = grouped.withColumn("block", F.element_at(number, F.concat_ws("/", "pivot", "part"))).select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def solve(q: pa.Table, x: pa.Table) -> pa.Table:
@@ -144,7 +206,7 @@ def top_k(rows: DataFrame, key: str, vector: str, is_query: Column, k: int) -> D
                 for j in best(kept, own, k):
                     out[0].append(i)
                     out[1].append(int(own[j]))
-                    out[2].append(int(kept[j]))
+                    out[2].append(min(max(int(kept[j]), -(2**63)), 2**63 - 1))
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
     found = asked.groupBy("block", "salt").cogroup(copies.groupBy("block", "salt")).applyInArrow(solve, "query_id long, vec_id long, score long")

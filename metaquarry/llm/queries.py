@@ -13,7 +13,7 @@ SHARDS = 40
 QUERY_EVERY, BEST = 50, 5
 
 
-#: Four domains by the sources' names, and the weights of domains, languages and sources; others weigh 1.
+#: Domains by the sources' names, and the weights of domains, languages and sources; others weigh 1.
 MIX_DOMAIN = "concat('d', coalesce(length(source) % 2, 2))"
 MIX_WEIGHTS = {
     "domain": "CASE domain WHEN 'd0' THEN 2 ELSE 3 END",
@@ -71,4 +71,5 @@ QUERIES = {"op1_langid": op1_langid, "op2_mixing": op2_mixing, "op3_toxicity": o
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(MIX_DOMAIN, MIX_WEIGHTS, mixing.PERCENT, mixing.MAX_EPOCHS, mixing.SEED),
     "op5_neighbours": neighbours.oracle(QUERY_EVERY, BEST),
+    "op9_neardup": neardup.oracle(),
 }

@@ -183,6 +183,35 @@ def test_schedule_is_greedy(sizes, shards):
     assert sorted(sum(s * plan[s][k] for s, _ in sizes) for k in range(shards)) == sorted(x for x, _ in heap)
 
 
+@pytest.mark.parametrize("at_once", [7, 1000])
+def test_plans_of_portions_are_the_plan_of_all(spark, monkeypatch, at_once):
+    monkeypatch.setattr(sharding, "AT_ONCE", at_once)
+    rng = random.Random(4)
+    sizes = [(n, rng.randint(1, 60)) for n in rng.sample(range(1, 5000), 60)]
+    plan, _ = sharding.planned(spark, spark.createDataFrame(sizes, "total long, n long"), 5)
+    found = {r["of"]: [b - a for a, b in zip([0, *r.ends], r.ends)] for r in plan.collect()}
+    assert found == {size: [n for n in took if n] for size, took in sharding.schedule(sizes, 5).items()}
+
+
+def test_cells_that_cannot_reach_the_bound_are_left_out():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-2000, 2000, (8, 6)) * 10.0
+    x = np.concatenate([c + rng.integers(-200, 200, (50, 6)) for c in centres])
+    near, far = neighbours.to_pivots(x, centres)
+    length = np.sqrt((x**2).sum(axis=1))
+    wide = {c: (far[near == c].max(), length[near == c].max()) for c in range(8)}
+    first = [(c, far[i], length[i]) for c in range(8) for i in np.flatnonzero(near == c)[np.argsort(far[near == c])][:6]]
+    blocks = [(c, 0, far[near == c].max(), -np.inf) for c in range(8)]
+    bound, may = neighbours.reached(blocks, centres, wide, first, 5)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    for c in range(8):
+        for q in np.flatnonzero(near == c):
+            best = np.argsort(-scores[q])[:5]
+            assert scores[q, best[-1]] >= bound[c] and may[c, near[best]].all()
+    assert may.mean() < 0.5
+
+
 def test_shards(docs, corpus, none):
     found = sharding.shard(docs, 5).collect()
     assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in found) == collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in corpus)
@@ -233,6 +262,11 @@ def test_fingerprints_beside_next(docs, corpus, none, monkeypatch):
     assert fingerprints.beside_next(none).count() == 0
 
 
+def test_fingerprint_beside_a_column_of_that_name(docs):
+    both = fingerprints.fingerprints(docs.withColumn("Fingerprint", F.lit("own")))
+    assert both.columns[-2:] == ["Fingerprint", "_fingerprint"] and both.where("Fingerprint <> 'own' OR _fingerprint IS NULL").count() < docs.count()
+
+
 def test_fingerprint_column(wide, docs):
     a = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(wide).select("doc_id", "fingerprint").collect()}
     b = {r.doc_id: r.fingerprint for r in fingerprints.beside_next(docs).collect()}
@@ -246,8 +280,8 @@ def test_neighbours(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1, 0, 0.5, 1]) + rng.random() / 50 for _ in range(6)]) for i in range(1, 400)]
     rows += [(1000 + i, rows[10][1]) for i in range(30)]  # ties
-    rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (2004, []), (2005, [3.0]), (2006, [2.0**40] * 6), (50, rows[49][1])]
-    for name, value in (("BLOCK", 3), ("SHARE", 60), ("SAMPLE", 40)):
+    rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (2004, []), (2005, [3.0]), (2006, [2.0**40] * 6), (2050, [2.0**41] * 6), (2100, [-(2.0**41)] * 6), (50, rows[49][1])]
+    for name, value in (("BLOCK", 3), ("SHARE", 60), ("SAMPLE", 40), ("PER_PIVOT", 30)):
         monkeypatch.setattr(neighbours, name, value)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(9)).withColumn("v", F.lit("x")).withColumn("salt", F.lit(0))
     found = {}
@@ -262,7 +296,7 @@ def test_neighbours(spark, monkeypatch):
         if q % 50 == 0:
             scores = sorted(((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q))[:5]
             want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    want.pop(2006, None)
+    want = {q: [(k, i, min(x, 2**63 - 1)) for k, i, x in rows_] for q, rows_ in want.items()}
     assert {q: sorted(x) for q, x in found.items() if q in want} == want
     assert neighbours.top_k(df.limit(0), "vec_id", "embedding", F.col("id") % 50 == 0, 5).count() == 0
     assert neighbours.top_k(df.where("vec_id = 100"), "vec_id", "embedding", F.col("id") % 50 == 0, 5).count() == 0
