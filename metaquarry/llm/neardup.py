@@ -374,8 +374,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
- g AS (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, chr(10))] ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], chr(10)))) END) AS g FROM w WHERE len(w) > 0),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{upper}', '{upper.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+ g AS (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, chr(10))] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(10)))) END) AS g FROM w WHERE len(w) > 0),
  h AS (SELECT DISTINCT doc_id, g FROM g),
  s AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1),
  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
