@@ -1,8 +1,9 @@
 """Exact top-k search: a Voronoi kNN join for integer inner products.
 
-Queries and data are grouped by the nearest of a few pivots (which are vectors of the data). A cell of data has a
+Queries and data are grouped by the nearest of a few pivots each (vectors of their own). A cell of data has a
 summary: how many vectors it holds, how far the farthest is from the pivot, the greatest length, and the distances and
-lengths of the k + 1 vectors nearest to the pivot. A cell's queries, in blocks, have a radius. With query q of a block
+lengths of the k + 1 vectors nearest to the pivot. A group of queries, in
+blocks, has a radius. With query q of a block
 at pivot p with radius r, and vector x of a cell at pivot c, at distance d from it,
 
     p.c - |p| d - r |x|  <=  q.x  <=  p.c + |p| d + r |x|
@@ -117,12 +118,12 @@ def summaries(cells: DataFrame, k: int) -> tuple[dict, list]:
     return wide, [tuple(r) for r in first]
 
 
-def reached(blocks: list[tuple], p: np.ndarray, wide: dict, first: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For blocks (pivot, part, radius, bound by the sample): the score to reach, and which cells may reach it."""
+def reached(blocks: list[tuple], groups: np.ndarray, p: np.ndarray, wide: dict, first: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For blocks of queries (pivot among groups, part, radius, bound by the sample) and cells of data at pivots p: the score to reach, and which cells may reach it."""
     at, radius = np.array([b[0] for b in blocks], np.int64), np.array([b[2] for b in blocks])
-    long = np.sqrt((p**2).sum(axis=1))
+    long = np.sqrt((groups**2).sum(axis=1))
     scores = np.full((len(blocks), max(k + 1, len(first))), -np.inf)
-    dots = p @ p.T
+    dots = groups @ p.T
     for i, (cell, far, length) in enumerate(first):
         scores[:, i] = dots[at, cell] - long[at] * far - radius * length
     # the k + 1st best: one of those vectors may be the query itself
@@ -146,41 +147,44 @@ def top_k(rows: DataFrame, key: str, vector: str, is_query: Column, k: int) -> D
     sample = data.orderBy(spread, "id").limit(SAMPLE).collect()
     s_ids, s = np.array([x["id"] for x in sample], np.int64), _matrix([bytes(x["v"]) for x in sample], dim)
     p = np.unique(s[: max(1, min(MAX_PIVOTS, -(-n // PER_PIVOT)))], axis=0) if len(s) else np.zeros((0, dim))
-    shared = spark.sparkContext.broadcast((p, s_ids, s))
+    first_queries = data.where(is_query).orderBy(spread, "id").limit(max(1, min(MAX_PIVOTS, -(-n_queries // BLOCK)))).collect()
+    groups = _matrix([bytes(x["v"]) for x in first_queries], dim)
+    shared = spark.sparkContext.broadcast((groups, s_ids, s))
     size = max(BLOCK, -(-n_queries // MAX_BLOCKS))
     cells, cells_at = stored(assigned(data, p), "cells")
     drop(spark, data_at)
     wide, first = summaries(cells, k)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, s_ids, s = shared.value
+        groups, s_ids, s = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = products(_matrix(batch.column(1).to_pylist(), dim), s).astype(np.float64)
+            ids, q = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1).to_pylist(), dim)
+            near, far = to_pivots(q, groups)
+            scores = products(q, s).astype(np.float64)
             scores[ids[:, None] == s_ids[None]] = -np.inf
             bound = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(ids), -np.inf)
             bound = bound - 1e-9 * np.abs(np.where(np.isfinite(bound), bound, 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=["id", "v", "pivot", "far", "bound"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(far), pa.array(bound)], names=["id", "v", "pivot", "far", "bound"])
 
-    queries = cells.where(is_query).select("id", "v", F.col("cell").alias("pivot"), "far")
+    queries = cells.where(is_query).select("id", "v")
     grouped, _ = stored(queries.mapInArrow(bounded, "id long, v binary, pivot int, far double, bound double"), "queries")
     held = {x["pivot"]: x["n"] for x in grouped.groupBy("pivot").agg(F.count("*").alias("n")).collect()}  # MAX_PIVOTS rows at most
     cut = F.element_at(F.create_map(*[F.lit(x) for c, m in (held or {0: 0}).items() for x in (c, max(1, -(-m // size)))]), F.col("pivot"))
     grouped = grouped.withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), cut).cast("int"))
     summary = grouped.groupBy("pivot", "part").agg(F.max("far").alias("far"), F.min("bound").alias("bound")).collect()  # MAX_BLOCKS + MAX_PIVOTS rows at most
     all_blocks = [(x["pivot"], x["part"], x["far"], x["bound"]) for x in summary]
-    bound, may = reached(all_blocks, p, wide, first, k)
+    bound, may = reached(all_blocks, groups, p, wide, first, k)
     blocks = spark.sparkContext.broadcast((np.array([b[0] for b in all_blocks], np.int64), np.array([b[2] for b in all_blocks]), bound, may))
     salts = max(1, -(-n // SHARE))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, (at, far, bound, may) = shared.value[0], blocks.value
+        groups, (at, far, bound, may) = shared.value[0], blocks.value
         for batch in batches:
             x, cell, length = _matrix(batch.column(1).to_pylist(), dim), batch.column(2).to_numpy(), batch.column(3).to_numpy()
             row, block = [], []
             for c in np.unique(cell):
                 some, to = np.flatnonzero(cell == c), np.flatnonzero(may[:, c])
-                upper = x[some] @ p[at[to]].T + length[some][:, None] * far[to]
+                upper = x[some] @ groups[at[to]].T + length[some][:, None] * far[to]
                 i, j = np.nonzero(upper + 1e-6 * (1 + np.abs(upper)) >= bound[to])
                 row.append(some[i])
                 block.append(to[j])

@@ -202,7 +202,7 @@ def test_cells_that_cannot_reach_the_bound_are_left_out():
     wide = {c: (far[near == c].max(), length[near == c].max()) for c in range(8)}
     first = [(c, far[i], length[i]) for c in range(8) for i in np.flatnonzero(near == c)[np.argsort(far[near == c])][:6]]
     blocks = [(c, 0, far[near == c].max(), -np.inf) for c in range(8)]
-    bound, may = neighbours.reached(blocks, centres, wide, first, 5)
+    bound, may = neighbours.reached(blocks, centres, centres, wide, first, 5)
     scores = x @ x.T
     np.fill_diagonal(scores, -np.inf)
     for c in range(8):
