@@ -32,13 +32,23 @@ def cdi_uri(prefix: str, cls: str, *suffix: Column) -> Column:
     return F.concat(F.lit("urn:ddi-cdi:"), uid(prefix, cls, *suffix))
 
 
-def node(rows: DataFrame, uri: Column, cls: str, seq: int, non_ddi_id: Column | None = None, name: Column | None = None, label: Column | None = None, notation: Column | None = None) -> DataFrame:
+_NODE = "struct<uri: string, type: string, seq: bigint, non_ddi_id: string, name: string, label: string, notation: string>"
+_EDGE = "struct<s: string, assoc: string, o: string>"
+
+
+def node(uri: Column, cls: str, seq: int, non_ddi_id: Column | None = None, name: Column | None = None, label: Column | None = None, notation: Column | None = None) -> Column:
     text = lambda c, n: (F.lit(None) if c is None else c).cast("string").alias(n)
-    return rows.select(uri.alias("uri"), F.lit(cls).alias("type"), F.lit(seq).cast("long").alias("seq"), text(non_ddi_id, "non_ddi_id"), text(name, "name"), text(label, "label"), text(notation, "notation"))
+    return F.struct(uri.alias("uri"), F.lit(cls).alias("type"), F.lit(seq).cast("long").alias("seq"), text(non_ddi_id, "non_ddi_id"), text(name, "name"), text(label, "label"), text(notation, "notation"))
+
 
+def edge(s: Column, assoc: str, o: Column) -> Column:
+    return F.struct(s.alias("s"), F.lit(assoc).alias("assoc"), o.alias("o"))
 
-def edge(rows: DataFrame, s: Column, assoc: str, o: Column) -> DataFrame:
-    return rows.select(s.alias("s"), F.lit(assoc).alias("assoc"), o.alias("o"))
+
+def _made(rows: DataFrame, cells: list[tuple[Column | None, Column]], kind: str) -> DataFrame:
+    """One pass over rows: a row for each cell (condition or none, struct) that holds."""
+    kept = [F.when(where, x.cast(kind)) if where is not None else x.cast(kind) for where, x in cells]
+    return rows.select(F.explode(F.filter(F.array(*kept), lambda x: x.isNotNull())).alias("x")).select("x.*")
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -48,53 +58,75 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def resources(tables: Tables, prefix: str, skos: bool = True, files: list[str] | None = None) -> Resources:
-    """All resources of the codebooks, with SKOS concepts or with code lists for the categories."""
+def resources(tables: Tables, prefix: str, skos: bool = True, files: list[str] | None = None, types: list[str] | None = None, assocs: list[str] | None = None) -> Resources:
+    """All resources of the codebooks, with SKOS concepts or with code lists for the categories; only of some types and kinds of edges if given.
+
+    Each codebook table is passed over once for its nodes and once for its edges, whatever their kinds; what isn't asked
+    for is never made, and a table that has nothing to give isn't read."""
     if files:
         raise NotImplementedError("a subset of files")
-    nodes, edges = [], []
-    v = tables.variables
-    var = F.col("var_id")
+    var, value, fid = F.col("var_id"), F.col("value"), F.col("file_id")
     instance = cdi_uri(prefix, "InstanceVariable", var)
-    nodes.append(node(v, instance, "InstanceVariable", 1, var, F.col("name"), F.col("label")))
-    kinds = ((False, "Substantive", v.where("n_categories > n_missing")), (True, "Sentinel", v.where("n_missing > 0")))
-    codes = tables.categories.where("value IS NOT NULL").withColumn("slug", code_slug(F.col("value"))).withColumn("shown", F.coalesce("label", "value"))
-    for missing, word, some in kinds:
-        domain = cdi_uri(prefix, f"{word}ValueDomain", var)
-        nodes.append(node(some, domain, f"{word}ValueDomain", 2))
-        edges.append(edge(some, instance, f"takes{word}Values", domain))
-        members = codes.where(F.col("is_missing") == missing)
+    v_nodes: list = [(None, node(instance, "InstanceVariable", 1, var, F.col("name"), F.col("label")))]
+    c_nodes, v_edges, c_edges = [], [], []
+    slug = F.col("slug")
+    for missing, word, some in ((False, "Substantive", F.expr("n_categories > n_missing")), (True, "Sentinel", F.expr("n_missing > 0"))):
+        domain, member = cdi_uri(prefix, f"{word}ValueDomain", var), F.col("is_missing") == missing
+        v_nodes.append((some, node(domain, f"{word}ValueDomain", 2)))
+        v_edges.append((some, edge(instance, f"takes{word}Values", domain)))
         if skos:
             scheme = uid(prefix, f"{word}ConceptScheme", var)
-            nodes.append(node(some, scheme, "skos:ConceptScheme", 3))
-            edges.append(edge(some, domain, "takesValuesFrom", scheme))
-            edges.append(edge(members, scheme, "skos:hasTopConcept", uid(prefix, "Concept", var, F.col("slug"))))
+            v_nodes.append((some, node(scheme, "skos:ConceptScheme", 3)))
+            v_edges.append((some, edge(domain, "takesValuesFrom", scheme)))
+            c_edges.append((member, edge(scheme, "skos:hasTopConcept", uid(prefix, "Concept", var, slug))))
         else:
             own = F.concat(var, F.lit("_sentinel" if missing else ""))
             code_list, category_set = cdi_uri(prefix, "CodeList", own), cdi_uri(prefix, "CategorySet", own)
-            nodes += [node(some, code_list, "CodeList", 3), node(some, category_set, "CategorySet", 4)]
-            edges += [edge(some, domain, "takesValuesFrom", code_list), edge(some, code_list, "references", category_set)]
-            edges.append(edge(members, code_list, "has_Code", cdi_uri(prefix, "Code", var, F.col("slug"))))
-            edges.append(edge(members, category_set, "has_Category", cdi_uri(prefix, "Category", var, F.col("slug"))))
+            v_nodes += [(some, node(code_list, "CodeList", 3)), (some, node(category_set, "CategorySet", 4))]
+            v_edges += [(some, edge(domain, "takesValuesFrom", code_list)), (some, edge(code_list, "references", category_set))]
+            c_edges += [(member, edge(code_list, "has_Code", cdi_uri(prefix, "Code", var, slug))), (member, edge(category_set, "has_Category", cdi_uri(prefix, "Category", var, slug)))]
+    shown = F.coalesce("label", "value")
     if skos:
-        nodes.append(node(codes, uid(prefix, "Concept", var, F.col("slug")), "skos:Concept", 5, None, None, F.col("shown"), F.col("value")))
+        c_nodes.append((None, node(uid(prefix, "Concept", var, slug), "skos:Concept", 5, None, None, shown, value)))
     else:
-        code, notation, category = (cdi_uri(prefix, c, var, F.col("slug")) for c in ("Code", "Notation", "Category"))
-        nodes += [node(codes, code, "Code", 5, F.col("slug")), node(codes, notation, "Notation", 6, None, None, None, F.col("shown")), node(codes, category, "Category", 7, None, F.col("shown"))]
-        edges += [edge(codes, code, "usesNotation", notation), edge(codes, code, "denotes_Category", category), edge(codes, notation, "represents_Category", category)]
-    f = tables.files
-    fid = F.col("file_id")
+        code, notation, category = (cdi_uri(prefix, c, var, slug) for c in ("Code", "Notation", "Category"))
+        c_nodes += [(None, node(code, "Code", 5, slug)), (None, node(notation, "Notation", 6, None, None, None, shown)), (None, node(category, "Category", 7, None, shown))]
+        c_edges += [(None, edge(code, "usesNotation", notation)), (None, edge(code, "denotes_Category", category)), (None, edge(notation, "represents_Category", category))]
     data_set, record, structure = (cdi_uri(prefix, c, fid) for c in ("DataSet", "LogicalRecord", "DataStructure"))
-    nodes += [node(f, u, c, 8, fid) for u, c in ((data_set, "DataSet"), (record, "LogicalRecord"), (structure, "DataStructure"))]
-    edges += [edge(f, record, "organizes_DataSet", data_set), edge(f, data_set, "isStructuredBy_DataStructure", structure)]
-    held = structure_positions(tables)
+    f_nodes = [(None, node(u, c, 8, fid)) for u, c in ((data_set, "DataSet"), (record, "LogicalRecord"), (structure, "DataStructure"))]
+    f_edges = [(None, edge(record, "organizes_DataSet", data_set)), (None, edge(data_set, "isStructuredBy_DataStructure", structure))]
     component, place = cdi_uri(prefix, "DataStructureComponent", fid, var), cdi_uri(prefix, "ComponentPosition", fid, var)
-    nodes += [node(held, component, "DataStructureComponent", 9), node(held, place, "ComponentPosition", 10, None, None, None, F.col("position"))]
-    edges += [
-        edge(held, record, "has_InstanceVariable", instance), edge(held, structure, "has_DataStructureComponent", component), edge(held, structure, "has_ComponentPosition", place),
-        edge(held, component, "isDefinedBy_RepresentedVariable", instance), edge(held, place, "indexes_DataStructureComponent", component),
+    h_nodes = [(None, node(component, "DataStructureComponent", 9)), (None, node(place, "ComponentPosition", 10, None, None, None, F.col("position")))]
+    h_edges = [
+        (None, edge(record, "has_InstanceVariable", instance)), (None, edge(structure, "has_DataStructureComponent", component)), (None, edge(structure, "has_ComponentPosition", place)),
+        (None, edge(component, "isDefinedBy_RepresentedVariable", instance)), (None, edge(place, "indexes_DataStructureComponent", component)),
+    ]
+    v, codes, f = tables.variables, tables.categories.where("value IS NOT NULL").withColumn("slug", code_slug(value)), tables.files
+    held = structure_positions(tables)
+
+    def gathered(tables_and_cells: list[tuple[DataFrame, list]], kind: str) -> DataFrame:
+        return _all([_made(rows, cells, kind) for rows, cells in tables_and_cells if cells])
+
+    def asked(cells: list, wanted: list[str] | None, names: list[str]) -> list:
+        return [c for c, n in zip(cells, names) if wanted is None or n in wanted]
+
+    kinds = ["InstanceVariable", *[k for word in ("Substantive", "Sentinel") for k in ([f"{word}ValueDomain", "skos:ConceptScheme"] if skos else [f"{word}ValueDomain", "CodeList", "CategorySet"])]]
+    of_codes = ["skos:Concept"] if skos else ["Code", "Notation", "Category"]
+    links = [k for word in ("Substantive", "Sentinel") for k in ([f"takes{word}Values", "takesValuesFrom"] if skos else [f"takes{word}Values", "takesValuesFrom", "references"])]
+    of_members = ["skos:hasTopConcept"] * 2 if skos else [*["has_Code", "has_Category"] * 2, "usesNotation", "denotes_Category", "represents_Category"]
+    nodes = [
+        (v, asked(v_nodes, types, kinds)), (codes, asked(c_nodes, types, of_codes)), (f, asked(f_nodes, types, ["DataSet", "LogicalRecord", "DataStructure"])),
+        (held, asked(h_nodes, types, ["DataStructureComponent", "ComponentPosition"])),
+    ]
+    edges = [
+        (v, asked(v_edges, assocs, links)), (codes, asked(c_edges, assocs, of_members)), (f, asked(f_edges, assocs, ["organizes_DataSet", "isStructuredBy_DataStructure"])),
+        (held, asked(h_edges, assocs, ["has_InstanceVariable", "has_DataStructureComponent", "has_ComponentPosition", "isDefinedBy_RepresentedVariable", "indexes_DataStructureComponent"])),
     ]
-    return Resources(last_wins(_all(nodes), ["uri"], ["seq", "type", "name", "label", "notation", "non_ddi_id"]), _all(edges).distinct())
+    spark = v.sparkSession
+    none_n, none_e = spark.createDataFrame([], _NODE.removeprefix("struct<").removesuffix(">")), spark.createDataFrame([], _EDGE.removeprefix("struct<").removesuffix(">"))
+    made_n = gathered(nodes, _NODE) if any(c for _, c in nodes) else none_n
+    made_e = gathered(edges, _EDGE) if any(c for _, c in edges) else none_e
+    return Resources(last_wins(made_n, ["uri"], ["seq", "type", "name", "label", "notation", "non_ddi_id"]), made_e.distinct())
 
 
 def structure_positions(tables: Tables, strict: bool = False) -> DataFrame:

@@ -500,24 +500,24 @@ def typed_literals(spark, d):
 
 @query("SELECT 'urn:ddi-cdi:run_InstanceVariable_V' || p_partkey AS uri, 'V' || p_partkey AS non_ddi_id, p_name AS name, p_type AS label FROM part")
 def cdi_instance_variables(spark, d):
-    nodes = convert.resources(book(spark, d), "run").nodes
-    return nodes.where("type = 'InstanceVariable'").select("uri", "non_ddi_id", "name", "label")
+    nodes = convert.resources(book(spark, d), "run", types=["InstanceVariable"]).nodes
+    return nodes.select("uri", "non_ddi_id", "name", "label")
 
 
 @query("""WITH c AS (SELECT l_partkey, count(*) FILTER (l_linestatus = 'O') AS m, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
  SELECT 'urn:ddi-cdi:run_SubstantiveValueDomain_V' || l_partkey AS uri, 'SubstantiveValueDomain' AS type FROM c WHERE n > m UNION ALL SELECT 'urn:ddi-cdi:run_SentinelValueDomain_V' || l_partkey, 'SentinelValueDomain' FROM c WHERE m > 0""")
 def value_domain_split(spark, d):
-    return convert.resources(book(spark, d), "run").nodes.where("type LIKE '%ValueDomain'").select("uri", "type")
+    return convert.resources(book(spark, d), "run", types=["SubstantiveValueDomain", "SentinelValueDomain"]).nodes.select("uri", "type")
 
 
 @query("""SELECT DISTINCT 'run_' || CASE l_linestatus WHEN 'O' THEN 'Sentinel' ELSE 'Substantive' END || 'ConceptScheme_V' || l_partkey AS s, 'run_Concept_V' || l_partkey || '_' || l_linenumber AS o FROM lineitem""")
 def concept_scheme_members(spark, d):
-    return convert.resources(book(spark, d), "run").edges.where("assoc = 'skos:hasTopConcept'").select("s", "o")
+    return convert.resources(book(spark, d), "run", assocs=["skos:hasTopConcept"]).edges.select("s", "o")
 
 
 @query("""SELECT DISTINCT 'urn:ddi-cdi:run_CodeList_V' || l_partkey || CASE l_linestatus WHEN 'O' THEN '_sentinel' ELSE '' END AS s, 'urn:ddi-cdi:run_Code_V' || l_partkey || '_' || l_linenumber AS o FROM lineitem""")
 def code_list_members(spark, d):
-    return convert.resources(book(spark, d), "run", skos=False).edges.where("assoc = 'has_Code'").select("s", "o")
+    return convert.resources(book(spark, d), "run", skos=False, assocs=["has_Code"]).edges.select("s", "o")
 
 
 @query("SELECT p_partkey, replace(replace(url_encode(replace(p_name || ' (100%~*)', ' ', '_')), '%7E', '~'), '*', '%2A') AS slug FROM part")
@@ -555,8 +555,8 @@ def resource_type_histogram(spark, d):
 @query("""WITH vf AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
  SELECT 'urn:ddi-cdi:run_LogicalRecord_F' || l_suppkey AS s, 'urn:ddi-cdi:run_InstanceVariable_V' || l_partkey AS o FROM vf""")
 def conversion_triples(spark, d):
-    t = convert.triples(convert.resources(book(spark, d), "run"))
-    return t.where(F.col("p") == convert.CDI + "has_InstanceVariable").select("s", "o")
+    t = convert.triples(convert.resources(book(spark, d), "run", types=[], assocs=["has_InstanceVariable"]))
+    return t.select("s", "o")
 
 
 # objects
@@ -665,3 +665,9 @@ def structured_names(spark, d):
     rows = table(spark, d, "customer").select(F.concat(F.lit("urn:x:"), F.col("c_custkey").cast("string")).alias("uri"), F.col("c_name").alias("name"), F.col("c_name").alias("label"))
     t = convert.name_nodes(rows)
     return t.select("s", F.when(F.col("p") == RDF_TYPE, "type").otherwise(F.regexp_replace("p", ".*/", "")).alias("p"), F.regexp_replace("o", f"^{convert.CDI}", "").alias("o"))
+
+
+@query("""WITH c AS (SELECT DISTINCT 'V' || l_partkey || '_' || l_linenumber AS k FROM lineitem) SELECT 'usesNotation' AS assoc, 'urn:ddi-cdi:run_Code_' || k AS s, 'urn:ddi-cdi:run_Notation_' || k AS o FROM c
+ UNION ALL SELECT 'denotes_Category', 'urn:ddi-cdi:run_Code_' || k, 'urn:ddi-cdi:run_Category_' || k FROM c UNION ALL SELECT 'represents_Category', 'urn:ddi-cdi:run_Notation_' || k, 'urn:ddi-cdi:run_Category_' || k FROM c""")
+def code_edges(spark, d):
+    return convert.resources(book(spark, d), "run", skos=False, assocs=["usesNotation", "denotes_Category", "represents_Category"]).edges.select("assoc", "s", "o")
