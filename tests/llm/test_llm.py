@@ -535,6 +535,28 @@ def test_likeness_is_edit_similarity(spark):
     assert 20 < sum(found.values()) < 80
 
 
+def test_letter_counts_leave_no_line_alike_out(spark):
+    """near_counts is what plain counts say, and true for every pair within the edits allowed."""
+    r = random.Random(8)
+    pairs = []
+    for i in range(400):
+        a = "".join(r.choice("eeeaiontsrldcump hé") for _ in range(r.choice([3, 30, 120, 900])))
+        b = list(a)
+        for _ in range(r.randrange(len(a) // 3 + 1)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choice(["", "e", "z", "a"])
+        pairs.append((a, "".join(b) if i % 4 else "e" * r.choice([2, 140, 500])))
+    rows = spark.createDataFrame(pairs, "x string, y string")
+    sides = [F.expr(e).alias(n) for n, e in (("size_a", "length(x)"), ("size_b", "length(y)"))]
+    counts = [c.alias(f"s{j}_{n}") for n, col in (("a", "x"), ("b", "y")) for j, c in enumerate(linededup.counts_of(col))]
+    edits = F.levenshtein("x", "y")
+    for row in rows.select("x", "y", *sides, *counts, edits.alias("d")).select("*", F.expr(linededup.near_counts("a", "b")).alias("near"), F.expr(linededup.most("a", "b")).alias("most")).collect():
+        few = lambda t, c: min(t.count(c), 127)
+        apart = [few(row.x, c) - few(row.y, c) for c in linededup.LETTERS]
+        assert row.near == (max(sum(d for d in apart if d > 0), -sum(d for d in apart if d < 0)) <= row.most)
+        assert row.near or row.d > row.most
+
+
 def test_line_dedup_recall(spark):
     """Of lines of each length with one character, one character of 20, or one word of 10 replaced, nine of ten at least are found."""
     rng = random.Random(8)
