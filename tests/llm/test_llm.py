@@ -535,6 +535,30 @@ def test_likeness_is_edit_similarity(spark):
     assert 20 < sum(found.values()) < 80
 
 
+def test_parts_are_never_closer_than_the_lines(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        a = "".join(rng.choice("abc é😀" if i % 3 else "ab") for _ in range(rng.randint(600, 900)))
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 8, 40])):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "yz"])
+        if i % 4 == 1:  # a block that is gone, or comes twice
+            at = rng.randrange(400)
+            b[at : at + 70] = [] if i % 8 == 1 else b[at : at + 70] * 2
+        if i % 10 == 9:
+            rng.shuffle(b)
+        rows.append((i, 0, a, "".join(b)))
+    pairs = spark.createDataFrame(rows, "a long, b long, la string, lb string").withColumn("edits", F.expr("CAST(floor(greatest(length(la), length(lb)) * 0.15) AS int)"))
+    found = pairs.select("la", "lb", "edits", F.expr(linededup.in_parts("la", "lb", "edits")).alias("n")).collect()
+    exact = [_levenshtein(r.la, r.lb) for r in found]
+    assert all(r.n >= d for r, d in zip(found, exact) if r.n <= r.edits)
+    assert all(r.n > r.edits for r, d in zip(found, exact) if d > r.edits)
+    settled = [r.n <= r.edits for r, d in zip(found, exact) if d <= r.edits]
+    assert len(settled) > 40 and sum(settled) > 0.8 * len(settled)
+
+
 def test_letter_counts_leave_no_line_alike_out(spark):
     """near_counts is what plain counts say, and true for every pair within the edits allowed."""
     r = random.Random(8)
