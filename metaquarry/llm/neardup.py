@@ -363,7 +363,9 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those linked to a smaller doc_id, and without rows that repeat a doc_id with its text. Its columns alone."""
+    """docs without those linked to a smaller doc_id, and without rows that repeat a doc_id with its text. Its columns alone.
+
+    Rows without a doc_id, and rows of one doc_id, are told apart by their texts alone: near copies among them all stay."""
     key, same, turn = (renamed(docs.columns, x) for x in ("gone_", "same_", "turn_"))
     gone = joined(docs).where("component_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("long") == gone[key], "left_anti")
