@@ -135,9 +135,9 @@ def field_ddl(name: Column, range_name: Column, card: Column) -> Column:
 
 
 def valid_uri(uri: Column) -> Column:
-    """http, https and ftp with a host, or a urn with a namespace and a name; others are not."""
+    """http, https and ftp with a host, or a urn with a namespace and a name up to its very end (a line end is no part of it); others are not."""
     web = uri.rlike(r"^(?i)(?:https?|ftp)://[^/?#\s]+")
-    urn = uri.rlike(r"^(?i)urn:[a-z0-9][a-z0-9-]{0,31}:[a-z0-9()+,\-.:=@;$_!*'%/?#]+$")
+    urn = uri.rlike(r"^(?i)urn:[a-z0-9][a-z0-9-]{0,31}:[a-z0-9()+,\-.:=@;$_!*'%/?#]+\z")
     return F.coalesce(web | urn, F.lit(False))
 
 

@@ -196,6 +196,11 @@ def test_objects(spark):
     assert objects.objects(t.limit(0), registry, "v:A").count() == 0
 
 
+def test_urns_end_where_their_text_ends(spark):
+    df = spark.createDataFrame([("urn:x:a.\n",), ("urn:x:a.\r\n",), ("urn:x:a.\u2028",), ("urn:x:a\nb",), ("urn:x:",), ("urn:x:a.",)], "u string")
+    assert [r[0] for r in df.select(terms.valid_uri(F.col("u"))).collect()] == [False, False, False, False, False, True]
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("urn:abc:x",), ("http://h/p",), ("http:///p",), ("mailto:a@b",), (None,)], "u string")
     assert [r[0] for r in df.select(terms.valid_uri(F.col("u"))).collect()] == [True, True, False, False, False]
