@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from urllib.parse import urljoin, uses_netloc, uses_relative
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ _END = r"[ \t]*+\.[ \t]*+(?:#.*)?$"
 _NODE, _SUFFIX = rf"^({_IRI}|{_LABEL}){_END}", rf"^(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*+)|\^\^({_IRI}))?{_END}"
 _BAD_ESCAPE = r"\\(?!(?:[tbnrf'\"\\]|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}))"
 _NOTHING = r"^\s*+(?:#.*)?$"
+_AT_ONCE = 50_000  # triples that a worker hands over in one go
+_ARROW = pa.schema([(c, pa.string()) for c in COLUMNS])
 
 
 def _parts(lines: DataFrame, column: str) -> DataFrame:
@@ -128,12 +131,27 @@ _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.DOTALL)
 
 
 def _plain(text: str) -> str:
+    if "\\" not in text:
+        return text
     simple = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
     return _ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else simple.get(m[1], m[1]), text)
 
 
+_SIMPLE = re.compile(r"[A-Za-z0-9_~-][A-Za-z0-9_~.-]*(?:/[A-Za-z0-9_~-][A-Za-z0-9_~.-]*)*")
+
+
+@lru_cache(1024)
+def _folder(base: str) -> str:
+    """What a simple reference is put after."""
+    return _resolved(base, "x")[:-1]
+
+
 def resolved(base: str, ref: str) -> str:
     """A reference in the light of a base, by the rules for URIs; of any scheme, and as it is without a base."""
+    return _folder(base) + ref if base and _SIMPLE.fullmatch(ref) else _resolved(base, ref)
+
+
+def _resolved(base: str, ref: str) -> str:
     if not base or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", ref):
         return ref
     scheme, _, rest = base.partition(":")
@@ -155,21 +173,23 @@ class Turtle:
         self.scope, self.made, self.base, self.out = scope, 0, base, []
         self.prefixes: dict[str, str] = {}
         self.tokens: list[tuple[str, str]] = []
-        at = 0
-        while at < len(text):
-            m = _TOKEN.match(text, at)
-            if not m:
-                raise TurtleError(f"unexpected text at {at}: {text[at : at + 30]!r}")
+        at, following = 0, _TOKEN.scanner(text).match
+        while m := following():
             if m.lastgroup != "space":
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
+        if at < len(text):
+            raise TurtleError(f"unexpected text at {at}: {text[at : at + 30]!r}")
+        self.tokens.append(("end", ""))
         self.at = 0
 
     def peek(self) -> tuple[str, str]:
-        return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+        return self.tokens[self.at]
 
     def take(self, *wanted: str) -> str:
-        kind, text = self.peek()
+        kind, text = self.tokens[self.at]
+        if kind == "end":
+            raise TurtleError(f"expected {' or '.join(wanted) or 'more'}, found the end")
         if wanted and kind not in wanted and text not in wanted:
             raise TurtleError(f"expected {' or '.join(wanted)}, found {text!r}")
         self.at += 1
@@ -264,15 +284,27 @@ class Turtle:
         raise TurtleError(f"unexpected {text!r}")
 
 
-def parse_turtle(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Triples of a column of Turtle texts, each a graph of its own."""
+def _parsed(texts: DataFrame, column: str, parse: Callable[[str, str], list[tuple]]) -> DataFrame:
+    """Triples that a parser finds in each text, given a scope for its blank nodes. Those of many short texts go back together."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            for text in batch[column].dropna():
-                yield pd.DataFrame(Turtle(text, "b" + blake2b(text.encode(), digest_size=6).hexdigest()).parse(), columns=list(COLUMNS))
+            for text in batch.column(0).to_pylist():
+                if text is not None:
+                    rows += parse(text, "b" + blake2b(text.encode(), digest_size=6).hexdigest())
+                if len(rows) >= _AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=_ARROW)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=_ARROW)
+
+    return texts.select(F.col(column).cast("string")).hint("rebalance").mapInArrow(run, SCHEMA)  # small files of many short texts would be few tasks
+
 
-    return texts.select(column).mapInPandas(run, SCHEMA).dropDuplicates(list(COLUMNS))
+def parse_turtle(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Triples of a column of Turtle texts, each a graph of its own."""
+    return _parsed(texts, column, lambda text, scope: Turtle(text, scope).parse()).dropDuplicates(list(COLUMNS))
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
@@ -387,16 +419,13 @@ class JsonLd:
 def parse_compact_jsonld(texts: DataFrame, column: str = "value") -> DataFrame:
     """Triples of JSON-LD texts that need their context; each is a graph of its own. Texts that aren't JSON have none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch[column].dropna():
-                try:
-                    rows = JsonLd(text, "b" + blake2b(text.encode(), digest_size=6).hexdigest()).out
-                except json.JSONDecodeError:
-                    rows = []
-                yield pd.DataFrame(rows, columns=list(COLUMNS))
+    def found(text: str, scope: str) -> list[tuple]:
+        try:
+            return JsonLd(text, scope).out
+        except json.JSONDecodeError:
+            return []
 
-    return texts.select(column).mapInPandas(run, SCHEMA)
+    return _parsed(texts, column, found)
 
 
 _XML_LANG, _XML_BASE = "{http://www.w3.org/XML/1998/namespace}lang", "{http://www.w3.org/XML/1998/namespace}base"
@@ -474,13 +503,7 @@ class RdfXml:
 
 def parse_rdf_xml(texts: DataFrame, column: str = "value") -> DataFrame:
     """Triples of a column of RDF/XML texts, each a graph of its own."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch[column].dropna():
-                yield pd.DataFrame(RdfXml(text, "b" + blake2b(text.encode(), digest_size=6).hexdigest()).out, columns=list(COLUMNS))
-
-    return texts.select(column).mapInPandas(run, SCHEMA).dropDuplicates(list(COLUMNS))
+    return _parsed(texts, column, lambda text, scope: RdfXml(text, scope).out).dropDuplicates(list(COLUMNS))
 
 
 def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
