@@ -174,10 +174,15 @@ def triples(found: Resources, authority: str = "local", version: str = "1") -> D
 
 
 def unpivoted(rows: DataFrame, uri: Column, cls: str, literals: dict[str, Column], links: dict[str, Column] | None = None) -> DataFrame:
-    """Triples of any table: one pass that makes a row for the type, each literal and each link that isn't null."""
-    base = lambda p, o, kind: F.when(o.isNotNull(), F.struct(uri.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang")))
-    cells = [base(RDF_TYPE, F.lit(cls), "iri"), *[base(p, c, "literal") for p, c in literals.items()], *[base(p, c, "iri") for p, c in (links or {}).items()]]
-    return rows.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("t")).select("t.*")
+    """Triples of any table: one pass that makes a row for the type, each literal and each link that isn't null.
+
+    A row is numbered cells first, whose terms come after: a filter on predicates or columns left out then spare their work."""
+    cells = [(RDF_TYPE, F.lit(cls), "iri"), *[(p, c, "literal") for p, c in literals.items()], *[(p, c, "iri") for p, c in (links or {}).items()]]
+    cell = "_" + max(rows.columns, key=len, default="")  # longer than any other name
+    of = lambda at: F.coalesce(*[F.when(F.col(cell) == i, c) for i, c in enumerate(at)])
+    out = rows.withColumn(cell, F.explode(F.array(*[F.lit(i) for i in range(len(cells))])))
+    out = out.select(uri.alias("s"), of([F.lit(p) for p, _, _ in cells]).alias("p"), of([c.cast("string") for _, c, _ in cells]).alias("o"), of([F.lit(kind) for _, _, kind in cells]).alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    return out.where("o IS NOT NULL")
 
 
 def inserted(rows: DataFrame, classes: list[str]) -> DataFrame:

@@ -113,8 +113,7 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
 
 
 _TOKEN = re.compile(
-    r"""(?P<space>\s+|\#[^\n]*)
-    |(?P<iri><[^<>"{}|^`\\\s]*>)
+    r"""(?:\s+|\#[^\n]*)*+(?:(?P<iri><[^<>"{}|^`\\\s]*>)
     |(?P<long>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*''')
     |(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
     |(?P<directive>@prefix\b|@base\b|PREFIX\b|BASE\b)
@@ -124,7 +123,8 @@ _TOKEN = re.compile(
     |(?P<number>[+-]?(?:\d+\.\d*[eE][+-]?\d+|\.?\d+[eE][+-]?\d+|\d*\.\d+|\d+))
     |(?P<name>(?:[A-Za-zÀ-￿][\w.-]*)?:(?:[\w:%-](?:[\w:%.\\-]*[\w:%-])?)?)
     |(?P<word>a\b|true\b|false\b)
-    |(?P<mark>[.;,\[\]()])""",
+    |(?P<mark>[.;,\[\]()])
+    |(?P<end>\Z))""",
     re.VERBOSE,
 )
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.DOTALL)
@@ -175,12 +175,13 @@ class Turtle:
         self.tokens: list[tuple[str, str]] = []
         at, following = 0, _TOKEN.scanner(text).match
         while m := following():
-            if m.lastgroup != "space":
-                self.tokens.append((m.lastgroup, m[0]))
+            kind = m.lastgroup
+            self.tokens.append((kind, m[kind]))
             at = m.end()
-        if at < len(text):
+            if kind == "end":
+                break
+        else:
             raise TurtleError(f"unexpected text at {at}: {text[at : at + 30]!r}")
-        self.tokens.append(("end", ""))
         self.at = 0
 
     def peek(self) -> tuple[str, str]:

@@ -323,3 +323,24 @@ def test_topological_rate_takes_all_links(spark, monkeypatch):
     monkeypatch.setattr(schemas, "order_rate", lambda order, links, count=None: (seen.append(links.count()), rate(order, links, count))[1])
     assert catalog.QUERIES["topological_rate"](spark, d).first()["rate"] == 100.0
     assert seen == [bindings.links(spark, d).count()] and seen[0] > 100
+
+
+def test_unpivoted_cells(spark):
+    t = spark.createDataFrame([(1, "a", None, 7), (2, None, "y", None)], "id int, name string, _name string, parent int")
+    uri = F.concat(F.lit("n/"), F.col("id").cast("string"))
+    found = convert.unpivoted(t, uri, "Node", {"name": F.col("name"), "other": F.col("_name")}, {"in": F.col("parent")})
+    assert {tuple(r)[:4] for r in found.collect()} == {
+        ("n/1", terms.RDF_TYPE, "Node", "iri"), ("n/1", "name", "a", "literal"), ("n/1", "in", "7", "iri"), ("n/2", terms.RDF_TYPE, "Node", "iri"), ("n/2", "other", "y", "literal"),
+    } and found.count() == 5 and found.columns == list(graph.COLUMNS)
+    plan = found.where("p = 'in'").select("s", "o")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan.lower()  # compiled as a whole, no lambda functions over the cells
+
+
+def test_turtle_ends():
+    for end in ("", " ", "\n# note", " # note\n\n#", "\t#"):
+        made = rdf.Turtle("#x\n<a> <b> <c> ." + end, "x")
+        assert made.tokens[-1] == ("end", "") and len(made.tokens) == 5 and made.parse() == [("a", "b", "c", "iri", None, None)]
+    for text in ("", " ", "# note"):
+        assert rdf.Turtle(text, "x").tokens == [("end", "")] and rdf.Turtle(text, "x").parse() == []
+    with pytest.raises(rdf.TurtleError, match="unexpected text at 3"):
+        rdf.Turtle("<a> ?", "x")
