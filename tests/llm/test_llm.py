@@ -535,6 +535,23 @@ def test_likeness_is_edit_similarity(spark):
     assert 20 < sum(found.values()) < 80
 
 
+def test_unlikely_pairs_are_compared_at_once(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        a = words(rng, rng.choice([3, 45, 160]))
+        b = [w + "x" if rng.random() < (i % 6) / 5 else w for w in a]  # about 0 to 17 % of the characters, so both sides of the limit
+        rows.append((2 * i, 2 * i + 1, " ".join(a), " ".join(b)))
+    pairs = spark.createDataFrame([*rows, (500, 501, "\u00e4" * 300, "\u00e4" * 299), (502, 503, "a b " * 80 + "c", "a b " * 40 + "c")], "a long, b long, la string, lb string")
+    unlikely = linededup.likeness(pairs, likely=False)
+    assert sorted(map(tuple, unlikely.collect())) == sorted(map(tuple, linededup.likeness(pairs).collect()))
+    found = {r.a: r.alike for r in unlikely.collect()}
+    assert {i: found[i] for i, *_ in rows} == {i: _levenshtein(a, b) <= int(max(len(a), len(b)) * (1 - linededup.ALIKE) + 1e-9) for i, _, a, b in rows}
+    assert found[500] and not found[502] and 5 < sum(found.values()) < len(found)
+    plan = unlikely._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan.lower() and "split" not in plan
+
+
 def test_parts_are_never_closer_than_the_lines(spark):
     rng = random.Random(12)
     rows = []
