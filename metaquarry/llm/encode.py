@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gc
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -33,6 +34,15 @@ def encoder(path: str, kind: str) -> "Encoder":
     return _KEPT[path, kind]
 
 
+class Known(dict):
+    """Ids of the words that are remembered; those of a step's other words are looked for in `fresh`."""
+
+    fresh: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
+
+
 class Encoder:
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
@@ -44,7 +54,7 @@ class Encoder:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items() if t.special}
         self.mark = "<|endoftext|>"
         self.mark_id = self.special[self.mark]
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
         self.closing: dict[str, bytes] = {}
         self.seen = bytearray(1 << 22)
         self.edge = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
@@ -150,29 +160,27 @@ class Encoder:
     def _step(self, texts: list[str | None]) -> list[bytes]:
         split = [self._words(t) if t else [] for t in texts]
         byte = self.kind == "byte"
-        new: set[str] = set()
+        known, fresh = self.known, set()
+        has, ids = known.__contains__, known.__getitem__
         first: set[str] = set()
         for words in split:
             if words and byte:
                 first.add(words[0])
-                new.update(words[1:])
+                fresh.update(filterfalse(has, words[1:]))
             elif words:
-                new.update(words)
-        get = self.known.get
-        ids = {w: v for w in new if (v := get(w)) is not None}
-        fresh = [w for w in new if w not in ids]
+                fresh.update(filterfalse(has, words))
         odd = {w for w in fresh if byte and not self._sure(w)}
         got: dict[str, bytes] = {}
         self._learn([w for w in fresh if byte and w not in odd and w[0] == "\n"], "", got)
         self._learn_words([w for w in fresh if w not in odd and w not in got], got)
-        ids |= got
-        if len(self.known) < REMEMBERED:
-            seen, mask, known = self.seen, len(self.seen) - 1, self.known
+        if len(known) < REMEMBERED:
+            seen, mask = self.seen, len(self.seen) - 1
             for w, v in got.items():  # the second time that a word is new to a step
                 if seen[h := hash(w) & mask]:
                     known[w] = v
                 else:
                     seen[h] = 1
+        known.fresh = got
         begin = {"": b""}
         self._learn([w for w in first if w], "", begin)
         out = []
@@ -182,7 +190,8 @@ class Encoder:
             elif words is None or (odd and not odd.isdisjoint(words[1:])):
                 out.append(self.plain(text))
             elif byte:
-                out.append(begin[words[0]] + b"".join([ids[w] for w in words[1:]]))
+                out.append(begin[words[0]] + b"".join(map(ids, words[1:])))
             else:
-                out.append(b"".join([ids[w] for w in words]))
+                out.append(b"".join(map(ids, words)))
+        known.fresh = {}
         return out

@@ -86,6 +86,16 @@ def test_encoder_forgets_and_remembers(corpus, monkeypatch):
         assert own.encode(texts) == [own.plain(t or "") for t in texts]
 
 
+def test_encoder_lets_a_steps_own_words_go(corpus, monkeypatch):
+    monkeypatch.setattr("metaquarry.llm.encode.REMEMBERED", 50)
+    own = Encoder(TOKENIZERS["word"], "word")
+    texts = [r[1] for r in corpus]
+    for _ in range(3):  # words that are remembered, and others beside them
+        assert own.encode(texts) == [own.plain(t or "") for t in texts]
+        assert own.known.fresh == {}
+    assert own.known
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300)))
 def test_variable_length_code(numbers):
