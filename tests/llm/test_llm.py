@@ -608,6 +608,29 @@ def test_letter_counts_leave_no_line_alike_out(spark):
         assert row.near or row.d > row.most
 
 
+def test_grams_leave_no_line_alike_out(spark):
+    """near_grams is true for every pair within the edits allowed and for longer lines, and false for most that share letters alone."""
+    r = random.Random(9)
+    pairs = []
+    for i in range(600):
+        a = "".join(r.choice("eaiontsrld hé😀") for _ in range(r.choice([1, 2, 5, 30, 60, 99, 104])))
+        b = list(a)
+        for _ in range(r.randrange(len(a) // 6 + 2)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choice(["", "e", "z", "😀"])
+        if i % 3 == 0:
+            r.shuffle(b)
+        pairs.append((a, "".join(b)))
+    rows = spark.createDataFrame(pairs, "x string, y string")
+    sides = [F.expr(e).alias(n) for n, e in (("size_a", "length(x)"), ("size_b", "length(y)"))]
+    rows = rows.select("x", "y", *sides, F.levenshtein("x", "y").alias("d"))
+    rows = rows.select("*", *[linededup.grams_of(c, f"size_{n}").alias(f"g_{n}") for n, c in (("a", "x"), ("b", "y"))])
+    found = rows.select("*", F.expr(linededup.near_grams("a", "b")).alias("near"), F.expr(linededup.most("a", "b")).alias("most")).collect()
+    assert all(x.near for x in found if x.d <= x.most or max(x.size_a, x.size_b) > linededup.FINE)
+    shuffled = [x for i, x in enumerate(found) if i % 3 == 0 and 30 <= x.size_a <= 99 and x.size_b <= 99 and x.d > x.most]
+    assert len(shuffled) > 50 and sum(x.near for x in shuffled) < 0.2 * len(shuffled)
+
+
 def test_line_dedup_recall(spark):
     """Of lines of each length with one character, one character of 20, or one word of 10 replaced, nine of ten at least are found."""
     rng = random.Random(8)
