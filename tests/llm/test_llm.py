@@ -657,6 +657,17 @@ def test_line_dedup_recall(spark):
     assert sum(found.values()) >= 0.93 * sum(total.values())
 
 
+def test_runs_of_short_words_are_no_key_alone(spark):
+    """Lines that share no more than two short words don't meet; a run is found where it stands."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdeinorst", k=7))
+    lines = [" ".join([word(), word(), word(), "of", "the", word(), word(), word()]) for _ in range(60)]
+    rows = linededup.runs(spark.createDataFrame([(i, len(x), x) for i, x in enumerate(lines)], "k long, size int, line string")).collect()
+    assert {r.k for r in rows} == set(range(len(lines)))
+    assert max(collections.Counter(r.key for r in rows).values()) == 1
+    assert all(r["at"] == 0 or lines[r.k][r["at"] - 1] == " " for r in rows)
+
+
 def test_line_dedup_tells_rows_of_one_id_apart(spark):
     rows = [(7, "alpha one\nbravo two"), (7, "charlie three\nalpha one"), (None, "delta four\necho five"), (None, "foxtrot six\ndelta four"), (None, "golf seven"), (8, "golf seven")]
     kept = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
