@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import gc
 from array import array
-from itertools import filterfalse
 
 import numpy as np
 
-#: Words that a worker remembers once they come again; further ones are encoded anew in each step. About 300 bytes each.
+#: Words that a worker remembers, longer ones once they come again; further ones are encoded anew in each step. About 300 bytes each.
 REMEMBERED = 500_000
+#: Characters of words that are remembered the first time, as most of them come again.
+SHORT = 8
 #: New words in one call of the library.
 AT_ONCE = 20_000
 #: Marks that may close a word; the tokenizers part them from the letters before.
@@ -35,13 +36,10 @@ def encoder(path: str, kind: str) -> "Encoder":
 
 
 class Known(dict):
-    """Ids of the words that are remembered; those of a step's other words are looked for in `fresh`."""
+    """Ids of the words that are remembered; `fresh` has those of a step's other words."""
 
     fresh: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        return self.fresh[word]
-
 
 class Encoder:
     def __init__(self, path: str, kind: str):
@@ -63,7 +61,11 @@ class Encoder:
 
     def plain(self, text: str) -> bytes:
         """As the library encodes the whole text."""
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        """As the library encodes a text, without where its tokens stand."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _odd(self, text: str) -> bool:
         return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f\x85")
@@ -72,7 +74,7 @@ class Encoder:
         """Ids of words that each stand for themselves: a special token between two keeps them apart."""
         for at in range(0, len(words), AT_ONCE):
             some = words[at : at + AT_ONCE]
-            ids = np.array(self.library.encode(self.mark.join([before + w for w in some]), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids(self.mark.join([before + w for w in some]))
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             if len(ends) != len(some):
                 raise RuntimeError("the tokenizer doesn't keep its special token apart")
@@ -85,7 +87,7 @@ class Encoder:
         """The same for words of letters alone, quicker: spaces between them, and the ids tell where a word ends or begins."""
         for at in range(0, len(words), AT_ONCE):
             some = words[at : at + AT_ONCE]
-            ids = np.array(self.library.encode(("" if self.kind == "word" else " ") + " ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids(("" if self.kind == "word" else " ") + " ".join(some))
             edges = np.flatnonzero(self.edge[ids])
             ends = edges + 1 if self.kind == "word" else np.append(edges[1:], len(ids))
             if len(ends) != len(some):
@@ -98,28 +100,35 @@ class Encoder:
 
     def _learn_words(self, words: list[str], into: dict[str, bytes]) -> None:
         """Words, for byte with one space before each: letters, letters with closing marks, and whatever else there is."""
-        split, rest, cores = [], [], set()
+        part, lead, lower = self.library.model.tokenize, "" if self.kind == "word" else "\u0120", self.kind == "word"
+        own: dict[str, bytes] = {}
+        marked, rest, other = [], [], []
+        get = self.known.get
+
+        def letters(c: str) -> None:
+            if c.isascii():  # what comes before the model leaves ASCII letters as they are but for case
+                own[c] = array("I", [t.id for t in part(c.lower() if lower else lead + c)]).tobytes()
+            else:
+                own[c] = b""
+                other.append(c)
+
         for w in words:
-            core = w.rstrip(CLOSING)
-            if core.isalpha():
-                split.append((w, core))
-                cores.add(core)
+            if w.isalpha():
+                if w not in own:
+                    letters(w)
+            elif (core := w.rstrip(CLOSING)).isalpha():
+                marked.append((w, core))
+                if core not in own:
+                    if (v := get(core)) is not None:
+                        own[core] = v
+                    else:
+                        letters(core)
             else:
                 rest.append(w)
-        get = self.known.get
-        own = {c: v for c in cores if (v := get(c)) is not None}
-        part, lead, lower = self.library.model.tokenize, "" if self.kind == "word" else "\u0120", self.kind == "word"
-        other = []
-        for c in cores:
-            if c not in own:
-                if c.isascii():  # what comes before the model leaves ASCII letters as they are but for case
-                    own[c] = array("I", [t.id for t in part(c.lower() if lower else lead + c)]).tobytes()
-                else:
-                    other.append(c)
         self._learn_letters(other, own)
-        self._learn([m for m in {w[len(c) :] for w, c in split} if m and m not in self.closing], "", self.closing)
-        for w, c in split:
-            into[w] = own[c] + self.closing[w[len(c) :]] if len(w) > len(c) else own[c]
+        self._learn([m for m in {w[len(c) :] for w, c in marked} if m not in self.closing], "", self.closing)
+        into.update((w, own[c] + self.closing[w[len(c) :]]) for w, c in marked)
+        into.update((w, own[w]) for w in words if w in own)
         if len(self.closing) > 10_000:
             self.closing.clear()
         self._learn(rest, "" if self.kind == "word" else " ", into)
@@ -158,25 +167,28 @@ class Encoder:
         return bool(at) and not at.isspace()
 
     def _step(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._words(t) if t else [] for t in texts]
         byte = self.kind == "byte"
-        known, fresh = self.known, set()
-        has, ids = known.__contains__, known.__getitem__
-        first: set[str] = set()
-        for words in split:
-            if words and byte:
-                first.add(words[0])
-                fresh.update(filterfalse(has, words[1:]))
-            elif words:
-                fresh.update(filterfalse(has, words))
-        odd = {w for w in fresh if byte and not self._sure(w)}
+        known, fresh, first = self.known, set(), set()
+        split: list[tuple[str, list[bytes | None], list[str]] | None] = []  # of each text the first word, if byte, the ids of words that are remembered, and the other words
+        for t in texts:
+            words = self._words(t) if t else []
+            if words is None:
+                split.append(None)
+                continue
+            lead = words.pop(0) if byte and words else ""
+            ids = list(map(known.get, words))
+            new = [w for w, v in zip(words, ids) if v is None]
+            first.add(lead)
+            fresh.update(new)
+            split.append((lead, ids, new))
+        odd = {w for w in fresh if not self._sure(w)} if byte else set()
         got: dict[str, bytes] = {}
         self._learn([w for w in fresh if byte and w not in odd and w[0] == "\n"], "", got)
         self._learn_words([w for w in fresh if w not in odd and w not in got], got)
         if len(known) < REMEMBERED:
             seen, mask = self.seen, len(self.seen) - 1
-            for w, v in got.items():  # the second time that a word is new to a step
-                if seen[h := hash(w) & mask]:
+            for w, v in got.items():  # longer words the second time that they are new to a step
+                if len(w) <= SHORT or seen[h := hash(w) & mask]:
                     known[w] = v
                 else:
                     seen[h] = 1
@@ -184,14 +196,12 @@ class Encoder:
         begin = {"": b""}
         self._learn([w for w in first if w], "", begin)
         out = []
-        for text, words in zip(texts, split):
-            if not text:
-                out.append(b"")
-            elif words is None or (odd and not odd.isdisjoint(words[1:])):
+        for text, parts in zip(texts, split):
+            if parts is None or (odd and not odd.isdisjoint(parts[2])):
                 out.append(self.plain(text))
-            elif byte:
-                out.append(begin[words[0]] + b"".join(map(ids, words[1:])))
-            else:
-                out.append(b"".join(map(ids, words)))
+                continue
+            lead, ids, new = parts
+            rest = map(known.fresh.__getitem__, new)
+            out.append(begin[lead] + b"".join([next(rest) if v is None else v for v in ids] if new else ids))
         known.fresh = {}
         return out

@@ -96,6 +96,12 @@ def test_encoder_lets_a_steps_own_words_go(corpus, monkeypatch):
     assert own.known
 
 
+def test_encoder_remembers_short_words_at_once():
+    own = Encoder(TOKENIZERS["word"], "word")
+    assert own.encode(["short words, unfamiliarlylong ones"]) == [own.plain("short words, unfamiliarlylong ones")]
+    assert set(own.known) == {"short", "words,", "ones"}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300)))
 def test_variable_length_code(numbers):
@@ -103,6 +109,19 @@ def test_variable_length_code(numbers):
     assert idfiles.unpack_ranks(control, data, len(numbers)).tolist() == numbers and len(control) == -(-len(numbers) // 4)
 
 
+def test_ranks_of_two_bytes_at_most():
+    ranks = np.array([0, 255, 256, 65535, 7])
+    control, data = idfiles.pack_ranks(ranks)
+    assert data == bytes([0, 255, 0, 1, 255, 255, 7]) and idfiles.unpack_ranks(control, data, 5).tolist() == ranks.tolist()
+
+
+def test_ids_are_counted_over_documents_of_either_width(monkeypatch):
+    monkeypatch.setattr(idfiles, "BLOCK_IDS", 4)
+    rows = [np.array(x, dtype=k) for x, k in (([1, 2], "<u2"), ([3], "<u4"), ([70000, 1], "<u4"), ([], "<u2"), ([5], "<u2"))]
+    found = list(idfiles._runs_of_ids([len(x) for x in rows], [x.tobytes() for x in rows]))
+    assert [x.tolist() for x in found] == [[1, 2, 3, 70000, 1], [5]]
+
+
 def test_id_files(spark, docs, corpus, none, monkeypatch):
     monkeypatch.setattr(idfiles, "PART_IDS", 3000)
     monkeypatch.setattr(idfiles, "BLOCK_IDS", 500)
