@@ -44,7 +44,9 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     four = np.zeros(-(-len(r) // 4) * 4, dtype=np.uint8)
     four[: len(r)] = extra
     control = (four.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    return control.tobytes(), r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]].tobytes()
+    kind = "<u2" if extra.max(initial=0) <= 1 else "<u4"
+    own = r.astype(kind).view(np.uint8).reshape(len(r), 2 if kind == "<u2" else 4)
+    return control.tobytes(), own[np.arange(own.shape[1]) <= extra[:, None]].tobytes()
 
 
 def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -82,14 +84,27 @@ def _array(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
+def _runs_of_ids(counts: list[int], ids: list[bytes]) -> Iterator[np.ndarray]:
+    """All documents' ids, those of many short documents together."""
+    held, size = [], 0
+    for n, x in zip(counts, ids):
+        held.append(_array(x, n))
+        size += n
+        if size >= BLOCK_IDS:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def frequencies(tokens: DataFrame) -> DataFrame:
     """id, n: how often each id occurs, counted in every partition before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.bincount(_array(ids.as_buffer(), n))
+            for ids in _runs_of_ids(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.bincount(ids)
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[: len(own)] += own
